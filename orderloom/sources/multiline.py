@@ -1,0 +1,77 @@
+"""Reading CSV files whose quoted text holds line breaks, without one task per file.
+
+Spark's ``multiLine`` reader cannot split a file. Here the files are read as
+plain lines, which splits, and lines are put back together into records: a
+record is open while the number of quote characters seen so far is odd. That
+number is known per block first (one small row per block), so each block can
+tell whether its first line continues a record of the block before.
+
+Only lines of records that span several lines are regrouped. Files must follow
+the usual quoting rule: a quote character appears only around or doubled inside
+a quoted field.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BLOCK = ["file", "block"]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    text = spark.read.option("lineSep", "\n").text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return text.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+        quotes.alias("quotes"),
+    )
+
+
+def _open_before(lines: DataFrame) -> DataFrame:
+    """Per block: whether a quoted field is open where the block begins."""
+    per_block = lines.groupBy(BLOCK).agg(F.sum("quotes").alias("quotes"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    return per_block.select(*BLOCK, (F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2).alias("open_before"))
+
+
+def read_quoted_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records of the CSV files at ``path``, whose first line is a header."""
+    lines = _lines(spark, path)
+    in_block = W.partitionBy(BLOCK).orderBy("line")
+    before = in_block.rowsBetween(W.unboundedPreceding, -1)
+    counted = lines.join(_open_before(lines), BLOCK).select(
+        *BLOCK,
+        "line",
+        "value",
+        F.row_number().over(in_block).alias("position"),
+        ((F.col("open_before") + F.coalesce(F.sum("quotes").over(before), F.lit(0))) % 2 == 1).alias("continues"),
+        ((F.col("open_before") + F.sum("quotes").over(in_block)) % 2 == 1).alias("unfinished"),
+    )
+    records = counted.where("not (block = 0 and position = 1)")
+    single = records.where("not continues and not unfinished").select("value")
+
+    # A fragment belongs to the record that the last non-continuing line began:
+    # in its own block or, for the first fragments of a block, in one before.
+    fragments = records.where("continues or unfinished").withColumn(
+        "start",
+        F.last(F.when(~F.col("continues"), F.struct("block", "line")), ignorenulls=True).over(in_block),
+    )
+    last_starts = fragments.groupBy(BLOCK).agg(F.max("start").alias("last_start"))
+    previous = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = last_starts.select(*BLOCK, F.max("last_start").over(previous).alias("carried"))
+    joined = (
+        fragments.join(carried, BLOCK)
+        .groupBy("file", F.coalesce("start", "carried").alias("start"))
+        .agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("pieces"))
+        .select(F.array_join(F.col("pieces.value"), "\n").alias("value"))
+    )
+    parsed = F.from_csv("value", F.lit(schema.toDDL()), {"escape": '"', "mode": "FAILFAST", "multiLine": "true"})
+    # A carriage return before the line break belongs to the line end.
+    whole = single.unionByName(joined).select(F.regexp_replace("value", "\r$", "").alias("value"))
+    return whole.where("value <> ''").select(parsed.alias("record")).select("record.*")
