@@ -15,19 +15,19 @@ ISO_LOCAL = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 ISO_WITH_OFFSET = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})$"
 
 
-def zoneless(value: Column) -> Column:
-    """Cast to a zone-less timestamp; unreadable text is an error."""
-    return value.cast("timestamp_ntz")
+def zoneless(value: str) -> str:
+    """SQL for a zone-less timestamp; unreadable text is an error."""
+    return f"cast({value} as timestamp_ntz)"
 
 
-def month_start(moment: Column) -> Column:
-    """First midnight of the month. (``date_trunc`` would return a zoned timestamp.)"""
-    return F.trunc(moment.cast("date"), "MM").cast("timestamp_ntz")
+def month_start(moment: str) -> str:
+    """SQL for the first midnight of the month. (``date_trunc`` would return a zoned timestamp.)"""
+    return f"cast(trunc(cast({moment} as date), 'MM') as timestamp_ntz)"
 
 
-def days_between(start: Column, end: Column) -> Column:
-    """Midnights crossed from ``start`` to ``end``: 23:30 to 00:30 is one day."""
-    return F.datediff(end.cast("date"), start.cast("date"))
+def days_between(start: str, end: str) -> str:
+    """SQL for the midnights crossed from ``start`` to ``end``: 23:30 to 00:30 is one day."""
+    return f"datediff(cast({end} as date), cast({start} as date))"
 
 
 def iso_moment(text: Column) -> Column:

@@ -14,17 +14,13 @@ A money total named ``x`` travels between aggregations as three columns:
 
 from __future__ import annotations
 
-from decimal import Decimal
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNITS_PER_ONE = 10_000
-EXACT_BELOW = 1e11
+EXACT_BELOW = "1e11D"
 LIMB_BITS = 20
-LIMB_MASK = (1 << LIMB_BITS) - 1
+LIMB = 1 << LIMB_BITS
 
 
 def limb_columns(name: str) -> list[str]:
@@ -32,63 +28,51 @@ def limb_columns(name: str) -> list[str]:
     return [f"{name}_hi", f"{name}_lo", f"{name}_rest"]
 
 
-def _fits(amount: Column) -> Column:
+def _units(amount: str) -> str:
     # NaN compares greater than every number, so it fails this test too.
-    return F.abs(amount) < EXACT_BELOW
-
-
-def _units(amount: Column) -> Column:
-    exact = F.when(_fits(amount), F.rint(amount * UNITS_PER_ONE).cast("bigint"))
-    return F.coalesce(exact, F.lit(0).cast("bigint"))
+    return f"if(abs({amount}) < {EXACT_BELOW}, cast(rint({amount} * {UNITS_PER_ONE}) as bigint), 0L)"
 
 
-def _rest(amount: Column) -> Column:
-    return F.coalesce(F.when(~_fits(amount), amount), F.lit(0.0))
+def _rest(amount: str) -> str:
+    return f"if(abs({amount}) >= {EXACT_BELOW}, {amount}, 0D)"
 
 
-def sum_amounts(name: str, *amounts: Column, times: Column | None = None) -> list[Column]:
-    """Aggregates adding up ``amounts`` of every row; a NULL amount counts as 0.
+def sum_amounts(name: str, *amounts: str, times: str | None = None) -> list[Column]:
+    """Aggregates adding up the SQL expressions ``amounts`` of every row; NULL counts as 0.
 
     ``times`` counts each row that many times.
     """
-    doubles = [a.cast("double") for a in amounts]
-    units = reduce(add, [_units(a) for a in doubles])
-    rest = reduce(add, [_rest(a) for a in doubles])
-    return _limb_sums(name, F.shiftright(units, LIMB_BITS), units.bitwiseAND(F.lit(LIMB_MASK)), rest, times)
+    doubles = [f"cast({a} as double)" for a in amounts]
+    units = " + ".join(_units(a) for a in doubles)
+    rest = " + ".join(_rest(a) for a in doubles)
+    return _limb_sums(name, f"shiftright({units}, {LIMB_BITS})", f"({units}) & {LIMB - 1}L", rest, times)
 
 
-def sum_totals(name: str, times: Column | None = None) -> list[Column]:
+def sum_totals(name: str, times: str | None = None) -> list[Column]:
     """Aggregates adding up the totals ``name`` of every row; NULL totals count as 0."""
-    hi, lo, rest = (F.col(c) for c in limb_columns(name))
-    carried = hi + F.shiftright(lo, LIMB_BITS)
-    return _limb_sums(name, carried, lo.bitwiseAND(F.lit(LIMB_MASK)), rest, times)
+    hi, lo, rest = limb_columns(name)
+    return _limb_sums(name, f"{hi} + shiftright({lo}, {LIMB_BITS})", f"{lo} & {LIMB - 1}L", rest, times)
 
 
-def _limb_sums(name: str, hi: Column, lo: Column, rest: Column, times: Column | None) -> list[Column]:
-    parts = (hi, lo, rest)
-    if times is not None:
-        parts = (hi * times, lo * times, rest * times)
-    return [F.sum(part).alias(column) for part, column in zip(parts, limb_columns(name))]
+def _limb_sums(name: str, hi: str, lo: str, rest: str, times: str | None) -> list[Column]:
+    counted = "" if times is None else f" * {times}"
+    return [F.expr(f"sum(({part}){counted}) as {column}") for part, column in zip((hi, lo, rest), limb_columns(name))]
 
 
-def total_decimal(*names: str, times: Column | None = None) -> Column:
-    """The exact part of the sum of the totals ``names``, with four decimals."""
-    wide = "decimal(20,0)"
-    zero = F.lit(0).cast(wide)
+def total_decimal(*names: str, times: str | None = None) -> str:
+    """SQL for the exact part of the sum of the totals ``names``, with four decimals."""
 
-    def limb(position: int) -> Column:
-        columns = [F.coalesce(F.col(limb_columns(n)[position]).cast(wide), zero) for n in names]
-        return reduce(add, columns)
+    def limb(position: int) -> str:
+        return " + ".join(f"coalesce(cast({limb_columns(n)[position]} as decimal(20,0)), 0)" for n in names)
 
-    units = limb(0) * F.lit(Decimal(1 << LIMB_BITS)) + limb(1)
+    units = f"cast(({limb(0)}) * {LIMB} + {limb(1)} as decimal(26,0))"
     if times is not None:
-        units = units.cast("decimal(26,0)") * times.cast("decimal(12,0)")
-    return (units * F.lit(Decimal("0.0001"))).cast("decimal(38,4)")
+        units = f"{units} * cast({times} as decimal(12,0))"
+    return f"cast({units} * 0.0001BD as decimal(38,4))"
 
 
-def total(*names: str, times: Column | None = None) -> Column:
-    """The sum of the totals ``names`` as a double; 0.0 when there was nothing to add."""
-    rest = reduce(add, [F.coalesce(F.col(limb_columns(n)[2]), F.lit(0.0)) for n in names])
-    if times is not None:
-        rest = rest * times
-    return total_decimal(*names, times=times).cast("double") + rest
+def total(*names: str, times: str | None = None) -> str:
+    """SQL for the sum of the totals ``names`` as a double; 0.0 when there was nothing to add."""
+    rest = " + ".join(f"coalesce({limb_columns(n)[2]}, 0D)" for n in names)
+    counted = "" if times is None else f" * {times}"
+    return f"(cast({total_decimal(*names, times=times)} as double) + ({rest}){counted})"

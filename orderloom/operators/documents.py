@@ -10,10 +10,10 @@ dropped, and no such group is collected whole into one task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orderloom.functions.moments import zoneless
 from orderloom.operators.staging import broadcast_if_small, settle
@@ -58,15 +58,16 @@ def unwind(documents: DataFrame, array: str) -> DataFrame:
 
 def typed_orders(orders: DataFrame) -> DataFrame:
     """The eight order columns with their times as zone-less timestamps."""
-    return orders.select(
-        "order_id", "customer_id", "order_status", *[zoneless(F.col(c)).alias(c) for c in ORDER_TIMES]
+    return orders.selectExpr(
+        "order_id", "customer_id", "order_status", *[f"{zoneless(c)} as {c}" for c in ORDER_TIMES]
     )
 
 
 def typed_reviews(reviews: DataFrame) -> DataFrame:
     """Reviews with their two times cast and moved to the end."""
     times = ["review_creation_date", "review_answer_timestamp"]
-    return reviews.select(*[c for c in reviews.columns if c not in times], *[zoneless(F.col(c)).alias(c) for c in times])
+    kept = [c for c in reviews.columns if c not in times]
+    return reviews.selectExpr(*kept, *[f"{zoneless(c)} as {c}" for c in times])
 
 
 def _children(shop: Shop) -> dict[str, DataFrame]:
@@ -79,16 +80,16 @@ def _children(shop: Shop) -> dict[str, DataFrame]:
 
 def _large_groups(children: dict[str, DataFrame], limit: int) -> DataFrame:
     """``(array, order_id, parts)`` of the groups beyond ``limit``."""
-    tagged = [child.select(F.lit(array).alias("array"), "order_id") for array, child in children.items()]
-    union = tagged[0]
-    for other in tagged[1:]:
-        union = union.unionByName(other)
+    tagged = [
+        child.where("order_id is not null").selectExpr(f"'{array}' as array", "order_id")
+        for array, child in children.items()
+    ]
     return (
-        union.where("order_id is not null")
+        reduce(DataFrame.union, tagged)
         .groupBy("array", "order_id")
-        .count()
-        .where(F.col("count") > limit)
-        .select("array", "order_id", F.ceil(F.col("count") * 2 / limit).cast("bigint").alias("parts"))
+        .agg(F.expr("count(1) as children"))
+        .where(f"children > {limit}")
+        .selectExpr("array", "order_id", f"ceil(children * 2 / {limit}) as parts")
     )
 
 
@@ -96,10 +97,10 @@ def _nest(child: DataFrame, array: str, *keys: str) -> DataFrame:
     """Arrays of the child's other columns, in a fixed order."""
     fields = [c for c in child.columns if c not in keys]
     first = ELEMENT_ORDER[array]
-    sortable = F.struct(*first, *[c for c in fields if c not in first])
-    ordered = F.array_sort(F.collect_list(sortable))
-    elements = F.transform(ordered, lambda e: F.struct(*[e[c].alias(c) for c in fields]))
-    return child.groupBy(*keys).agg(elements.alias(array))
+    sortable = ", ".join(first + [c for c in fields if c not in first])
+    element = ", ".join(f"'{c}', e.`{c}`" for c in fields)
+    ordered = f"array_sort(collect_list(struct({sortable})))"
+    return child.groupBy(*keys).agg(F.expr(f"transform({ordered}, e -> named_struct({element})) as {array}"))
 
 
 def _nest_parts(child: DataFrame, array: str, large: DataFrame, rows: int) -> DataFrame:
@@ -111,14 +112,6 @@ def _nest_parts(child: DataFrame, array: str, large: DataFrame, rows: int) -> Da
     return _nest(members.withColumn("part", F.pmod(number, "parts")).drop("parts"), array, "order_id", "part")
 
 
-def _empty_overflow(documents: DataFrame) -> DataFrame:
-    fields = {f.name: f for f in documents.schema.fields}
-    schema = T.StructType(
-        [fields["_id"], T.StructField("part", T.LongType()), *[fields[a] for a in ELEMENT_ORDER]]
-    )
-    return documents.sparkSession.createDataFrame([], schema)
-
-
 def order_documents(shop: Shop, limit: int = NEST_LIMIT) -> OrderDocuments:
     """Assemble the order documents. Order ids should be unique in the orders table."""
     children = _children(shop)
@@ -139,9 +132,15 @@ def order_documents(shop: Shop, limit: int = NEST_LIMIT) -> OrderDocuments:
             further = parts.where("part > 0")
             overflow = further if overflow is None else overflow.join(further, ["order_id", "part"], "full")
         documents = documents.join(nested, "order_id", "left")
-    documents = documents.withColumns({a: F.coalesce(a, F.array()) for a in children}).withColumnRenamed("order_id", "_id")
+    documents = _complete(documents)
     if overflow is None:
-        return OrderDocuments(documents, _empty_overflow(documents))
-    known = overflow.join(typed_orders(shop.orders).select("order_id"), "order_id", "left_semi")
-    known = known.withColumns({a: F.coalesce(a, F.array()) for a in children}).withColumnRenamed("order_id", "_id")
-    return OrderDocuments(documents, known.select("_id", "part", *children))
+        overflow = documents.where("false").selectExpr("_id", "0L as part", *ELEMENT_ORDER)
+    else:
+        overflow = _complete(overflow.join(shop.orders.select("order_id"), "order_id", "left_semi"))
+    return OrderDocuments(documents, overflow.select("_id", "part", *ELEMENT_ORDER))
+
+
+def _complete(nested: DataFrame) -> DataFrame:
+    """Empty arrays where an order has no children of a kind; the key is named ``_id``."""
+    arrays = {array: F.coalesce(array, F.array()) for array in ELEMENT_ORDER}
+    return nested.withColumns(arrays).withColumnRenamed("order_id", "_id")

@@ -12,37 +12,35 @@ from pyspark.sql import functions as F
 from orderloom.functions.moments import days_between, zoneless
 from orderloom.functions.money import sum_amounts
 
-ROW = "copies"
+# SQL for the days from purchase to delivery.
+DELIVERY_DAYS = days_between(zoneless("order_purchase_timestamp"), zoneless("order_delivered_customer_date"))
 
+# How many rows fell into the group, so that joins can count each of them.
+COPIES = "count(1) as copies"
 
-def copies() -> Column:
-    """How many rows fell into the group, so that joins can count each of them."""
-    return F.count(F.lit(1)).alias(ROW)
 
-
-def delivery_days() -> Column:
-    return days_between(
-        zoneless(F.col("order_purchase_timestamp")), zoneless(F.col("order_delivered_customer_date"))
-    )
+def exprs(*texts: str) -> list[Column]:
+    return [F.expr(text) for text in texts]
 
 
 def order_totals(items: DataFrame) -> DataFrame:
     """Per order: exact totals ``price``, ``freight`` and their sum ``revenue``."""
-    price, freight = F.col("price"), F.col("freight_value")
     return items.groupBy("order_id").agg(
-        *sum_amounts("price", price), *sum_amounts("freight", freight), *sum_amounts("revenue", price, freight)
+        *sum_amounts("price", "price"),
+        *sum_amounts("freight", "freight_value"),
+        *sum_amounts("revenue", "price", "freight_value"),
     )
 
 
 def review_scores(reviews: DataFrame) -> DataFrame:
     """Per order: mean review score."""
-    return reviews.groupBy("order_id").agg(F.avg(F.col("review_score").cast("double")).alias("score"))
+    return reviews.groupBy("order_id").agg(*exprs("avg(cast(review_score as double)) as score"))
 
 
 def category_names(translations: DataFrame) -> DataFrame:
     """One English name per category: the smallest, when several are given."""
     return translations.groupBy("product_category_name").agg(
-        F.min("product_category_name_english").alias("product_category_name_english")
+        *exprs("min(product_category_name_english) as product_category_name_english")
     )
 
 

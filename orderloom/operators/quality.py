@@ -20,45 +20,49 @@ def _union(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def is_missing(column: str) -> Column:
-    """NULL, or blank once read as text."""
-    value = F.col(f"`{column}`")
-    return value.isNull() | (F.trim(value.cast("string")) == "")
+def _name(column: str) -> str:
+    """The column name quoted as an identifier."""
+    return "`" + column.replace("`", "``") + "`"
 
 
-def breaks_rule(rule: DateRule) -> Column:
-    """Both times are readable and the later one lies before the earlier one."""
-    later, earlier = (F.col(c).try_cast("timestamp_ntz") for c in (rule.later, rule.earlier))
-    return later < earlier
+def _text(value: str) -> str:
+    """The value quoted as a text literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _sum_if(condition: Column) -> Column:
-    return F.count_if(condition)
+def is_missing(column: str) -> str:
+    """SQL: NULL, or blank once read as text."""
+    return f"coalesce(trim(cast({_name(column)} as string)), '') = ''"
+
+
+def breaks_rule(rule: DateRule) -> str:
+    """SQL: both times are readable and the later one lies before the earlier one."""
+    return f"try_cast({rule.later} as timestamp_ntz) < try_cast({rule.earlier} as timestamp_ntz)"
+
+
+def _count_if(condition: str, name: str) -> Column:
+    return F.expr(f"count_if({condition}) as {_name(name)}")
 
 
 def profile(name: str, table: DataFrame) -> DataFrame:
-    """One row: ``rows``, ``missing`` per column and, for orders, ``date_breaks`` per rule."""
-    measures = [F.count(F.lit(1)).alias("rows")]
-    measures += [_sum_if(is_missing(c)).alias(f"missing:{c}") for c in table.columns]
+    """One row: ``rows``, ``missing:`` per column and, for orders, ``date:`` per rule."""
+    measures = [F.expr("count(1) as rows")]
+    measures += [_count_if(is_missing(c), f"missing:{c}") for c in table.columns]
     if name == ORDERS:
-        measures += [_sum_if(breaks_rule(r)).alias(f"date:{r.label}") for r in DATE_RULES]
+        measures += [_count_if(breaks_rule(r), f"date:{r.label}") for r in DATE_RULES]
     return table.agg(*measures)
 
 
-def _unpivot(measured: DataFrame, labels: dict[str, str], label: str, value: str) -> DataFrame:
-    """Rows ``(label, value)`` from the named columns of a one-row table."""
-    pairs = F.array(*[F.struct(F.lit(text).alias(label), F.col(f"`{c}`").alias(value)) for c, text in labels.items()])
-    others = [F.col(f"`{c}`") for c in measured.columns if c not in labels]
-    return measured.select(*others, F.explode(pairs).alias("pair")).select(*others, "pair.*")
+def _stacked(measured: DataFrame, columns: Sequence[str], names: str, others: Sequence[str] = ()) -> DataFrame:
+    """Rows ``names`` (label, value) from the named columns of a one-row table."""
+    pairs = ", ".join(f"{_text(c)}, {_name(c)}" for c in columns)
+    return measured.selectExpr(*others, f"stack({len(columns)}, {pairs}) as ({names})")
 
 
 def row_counts(shop: Shop) -> DataFrame:
     """``(dataset, rows)``."""
     return _union(
-        [
-            t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("dataset"), "rows")
-            for name, t in shop.tables().items()
-        ]
+        [t.agg(F.expr("count(1) as rows")).selectExpr(f"'{name}' as dataset", "rows") for name, t in shop.tables().items()]
     )
 
 
@@ -66,15 +70,10 @@ def missing_values(shop: Shop) -> DataFrame:
     """``(dataset, column, missing, percent)`` of the columns with missing values."""
 
     def of(name: str, table: DataFrame) -> DataFrame:
-        measured = table.agg(
-            F.count(F.lit(1)).alias("rows"), *[_sum_if(is_missing(c)).alias(c) for c in table.columns]
-        )
-        counted = _unpivot(measured, {c: c for c in table.columns}, "column", "missing")
-        return counted.where("missing > 0").select(
-            F.lit(name).alias("dataset"),
-            "column",
-            "missing",
-            (F.col("missing") / F.col("rows") * 100).alias("percent"),
+        measured = table.agg(F.expr("count(1) as rows"), *[_count_if(is_missing(c), c) for c in table.columns])
+        counted = _stacked(measured, table.columns, "column, missing", ["rows"])
+        return counted.where("missing > 0").selectExpr(
+            f"'{name}' as dataset", "column", "missing", "missing / rows * 100 as percent"
         )
 
     return _union([of(name, t) for name, t in shop.tables().items()])
@@ -82,16 +81,16 @@ def missing_values(shop: Shop) -> DataFrame:
 
 def extra_rows(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row ``duplicates``: rows beyond the first of each key; NULL keys form one group."""
-    groups = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return groups.agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("duplicates"))
+    groups = table.groupBy(*keys).agg(F.expr("count(1) as rows"))
+    return groups.agg(F.expr("coalesce(sum(rows - 1), 0) as duplicates"))
 
 
 def duplicate_keys(shop: Shop, keys: dict[str, tuple[str, ...]] = KEYS) -> DataFrame:
     """``(dataset, key, duplicates)``."""
     return _union(
         [
-            extra_rows(shop.table(name), columns).select(
-                F.lit(name).alias("dataset"), F.lit(" + ".join(columns)).alias("key"), "duplicates"
+            extra_rows(shop.table(name), columns).selectExpr(
+                f"'{name}' as dataset", f"'{' + '.join(columns)}' as key", "duplicates"
             )
             for name, columns in keys.items()
         ]
@@ -105,45 +104,33 @@ def orphans(shop: Shop, relations: Sequence[Relation] = RELATIONS) -> DataFrame:
     parent, so the parent is read once for all its children and a key with very
     many rows is combined before the shuffle. NULL child keys are no orphans.
     """
-    groups: dict[tuple[str, str], list[Relation]] = {}
+    groups: dict[tuple[str, str], list[str]] = {}
     for relation in relations:
-        groups.setdefault((relation.parent, relation.key), []).append(relation)
+        groups.setdefault((relation.parent, relation.key), []).append(relation.child)
     return _union([_orphans_of(shop, parent, key, children) for (parent, key), children in groups.items()])
 
 
-def _orphans_of(shop: Shop, parent: str, key: str, children: list[Relation]) -> DataFrame:
-    def tagged(table: str, tag: int) -> DataFrame:
-        keys = shop.table(table).select(F.col(key).alias("key")).where("key is not null")
-        return keys.withColumn("tag", F.lit(tag))
+def _orphans_of(shop: Shop, parent: str, key: str, children: list[str]) -> DataFrame:
+    def keys_of(table: str) -> DataFrame:
+        return shop.table(table).where(f"{key} is not null").selectExpr(f"{key} as key", f"'{table}' as source")
 
-    tags = {i: relation for i, relation in enumerate(children, start=1)}
-    keys = _union([tagged(parent, 0)] + [tagged(r.child, i) for i, r in tags.items()])
-    by_key = keys.groupBy("key").agg(
-        F.max(F.col("tag") == 0).alias("known"), *[_sum_if(F.col("tag") == i).alias(f"child_{i}") for i in tags]
+    by_key = (
+        _union([keys_of(table) for table in (parent, *children)])
+        .groupBy("key")
+        .agg(F.expr(f"max(source = '{parent}') as known"), *[_count_if(f"source = '{c}'", c) for c in children])
     )
-    measured = by_key.agg(
-        *[F.coalesce(F.sum(F.when(~F.col("known"), F.col(f"child_{i}"))), F.lit(0)).alias(f"child_{i}") for i in tags]
-    )
-    counted = _unpivot(measured, {f"child_{i}": r.child for i, r in tags.items()}, "child", "orphans")
-    return counted.select(
-        F.concat("child", F.lit(f" without {parent}")).alias("relation"),
+    measured = by_key.agg(*[F.expr(f"coalesce(sum(if(known, 0, `{c}`)), 0) as `{c}`") for c in children])
+    return _stacked(measured, children, "child, orphans").selectExpr(
+        f"concat(child, ' without {parent}') as relation",
         "child",
-        F.lit(parent).alias("parent"),
-        F.lit(key).alias("key"),
+        f"'{parent}' as parent",
+        f"'{key}' as key",
         "orphans",
     )
 
 
 def date_order(orders: DataFrame, rules: Sequence[DateRule] = DATE_RULES) -> DataFrame:
     """``(rule, later, earlier, violations)``, all rules in one scan."""
-    measured = orders.agg(*[_sum_if(breaks_rule(r)).alias(r.label) for r in rules])
-    counted = _unpivot(measured, {r.label: r.label for r in rules}, "rule", "violations")
-
-    def column_of(attribute: str) -> Column:
-        return F.create_map(*[F.lit(v) for r in rules for v in (r.label, getattr(r, attribute))])[F.col("rule")]
-
-    return counted.select(
-        "rule", column_of("later").alias("later"), column_of("earlier").alias("earlier"), "violations"
-    )
-
-
+    measured = orders.agg(*[_count_if(breaks_rule(r), r.label) for r in rules])
+    rows = ", ".join(f"'{r.label}', '{r.later}', '{r.earlier}', `{r.label}`" for r in rules)
+    return measured.selectExpr(f"stack({len(rules)}, {rows}) as (rule, later, earlier, violations)")

@@ -6,60 +6,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.money import sum_amounts, sum_totals, total, total_decimal
+from orderloom.operators.facts import exprs
+
+COUNTS = ("count(1) as payments", "count(payment_value) as amounts")
 
 
 def orders_by_status(orders: DataFrame) -> DataFrame:
     """``(status, order_count)``, most frequent first."""
-    return (
-        orders.groupBy(F.col("order_status").alias("status"))
-        .agg(F.count(F.lit(1)).alias("order_count"))
-        .orderBy(F.desc("order_count"), "status")
-    )
+    counted = orders.groupBy("order_status").agg(*exprs("count(1) as order_count"))
+    return counted.selectExpr("order_status as status", "order_count").orderBy(F.desc("order_count"), "status")
+
 
+def payments_by_type(payments: DataFrame, orders: DataFrame) -> DataFrame:
+    """``(payment_type, payment_count, total_amount, average_amount)``, largest total first.
 
-def payments_of_known_orders(payments: DataFrame, orders: DataFrame) -> DataFrame:
-    """Payments per order and type, for orders that exist.
+    Amounts are rounded half to even on two decimals; the order is by the
+    unrounded total. Payments of unknown orders do not count.
 
-    Payments are combined before the join, which then meets one row per order
-    and type however many payments an order has.
+    Payments are combined per order and type before the join, which then meets
+    one row per order and type however many payments an order has.
     """
-    value = F.col("payment_value")
     combined = payments.groupBy("order_id", "payment_type").agg(
-        F.count(F.lit(1)).alias("payments"), F.count(value).alias("amounts"), *sum_amounts("amount", value)
+        *exprs(*COUNTS), *sum_amounts("amount", "payment_value")
+    )
+    return _by_type(combined.join(orders.select("order_id").distinct(), "order_id", "left_semi"))
+
+
+def unwound_payments_by_type(payments: DataFrame) -> DataFrame:
+    """The same over the payments unwound from order documents."""
+    return _by_type(
+        payments.groupBy("payment_type").agg(*exprs(*COUNTS), *sum_amounts("amount", "payment_value"))
     )
-    return combined.join(orders.select("order_id").distinct(), "order_id", "left_semi")
 
 
 def _by_type(combined: DataFrame) -> DataFrame:
     totals = combined.groupBy("payment_type").agg(
-        F.sum("payments").alias("payment_count"), F.sum("amounts").alias("amounts"), *sum_totals("amount")
+        *exprs("sum(payments) as payment_count", "sum(amounts) as amounts"), *sum_totals("amount")
     )
-    rounded = F.bround(total_decimal("amount"), 2).cast("double") + F.coalesce(F.col("amount_rest"), F.lit(0.0))
     return (
-        totals.orderBy(total("amount").desc(), "payment_type")
-        .select(
+        totals.withColumn("amount", F.expr(total("amount")))
+        .orderBy(F.desc("amount"), "payment_type")
+        .selectExpr(
             "payment_type",
             "payment_count",
-            rounded.alias("total_amount"),
-            F.bround(F.try_divide(total("amount"), F.col("amounts")), 2).alias("average_amount"),
-        )
-    )
-
-
-def payments_by_type(payments: DataFrame, orders: DataFrame) -> DataFrame:
-    """``(payment_type, payment_count, total_amount, average_amount)``, largest total first.
-
-    Amounts are rounded half to even on two decimals; the order is by the
-    unrounded total. Payments of unknown orders do not count.
-    """
-    return _by_type(payments_of_known_orders(payments, orders))
-
-
-def unwound_payments_by_type(payments: DataFrame) -> DataFrame:
-    """The same over the payments unwound from order documents."""
-    value = F.col("payment_value")
-    return _by_type(
-        payments.groupBy("payment_type").agg(
-            F.count(F.lit(1)).alias("payments"), F.count(value).alias("amounts"), *sum_amounts("amount", value)
+            f"cast(bround({total_decimal('amount')}, 2) as double) + amount_rest as total_amount",
+            "bround(try_divide(amount, amounts), 2) as average_amount",
         )
     )

@@ -7,184 +7,177 @@ shuffle carries partially aggregated rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from orderloom.functions.moments import month_start, zoneless
 from orderloom.functions.money import sum_amounts, sum_totals, total
 from orderloom.operators.facts import (
+    COPIES,
+    DELIVERY_DAYS,
     category_names,
-    copies,
-    delivery_days,
+    exprs,
     order_totals,
     product_names,
     review_scores,
 )
 from orderloom.sources.shop import Shop
 
-UNCATEGORIZED = "uncategorized"
+# English name first. A translated category is its own English name, so one
+# name and a flag cross the shuffles instead of two names.
+CATEGORY = (
+    "coalesce(product_category_name_english, product_category_name, 'uncategorized') as category",
+    "product_category_name_english is not null as translated",
+)
 
 
 def _totals(shop: Shop) -> DataFrame:
     return order_totals(shop.order_items) if shop.order_totals is None else shop.order_totals
 
 
-def _flag(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0)
-
-
-def _mean(total_column: Column, count_column: Column) -> Column:
-    """``total / count``, NULL when there was nothing to count."""
-    return F.try_divide(total_column, count_column)
-
-
-def _number(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0).cast("bigint")).alias(name)
-
-
 def monthly_metrics(shop: Shop) -> DataFrame:
     """Orders, revenue, delivery time and review score by month of purchase."""
-    days = delivery_days()
     # Repeated rows of an order collapse here, so the joins below meet at most
     # one row per order and month.
-    by_order = shop.orders.groupBy(
-        "order_id", month_start(zoneless(F.col("order_purchase_timestamp"))).alias("month")
-    ).agg(
-        copies(),
-        F.max(_flag(F.col("order_status") == "delivered")).alias("delivered"),
-        F.max(_flag(F.col("order_status") == "canceled")).alias("canceled"),
-        F.sum(days).alias("days"),
-        F.count(days).alias("deliveries"),
-    )
-    joined = by_order.join(_totals(shop), "order_id", "left").join(
-        review_scores(shop.order_reviews), "order_id", "left"
+    by_order = (
+        shop.orders.selectExpr(
+            "order_id",
+            f"{month_start(zoneless('order_purchase_timestamp'))} as month",
+            "order_status",
+            f"{DELIVERY_DAYS} as days",
+        )
+        .groupBy("order_id", "month")
+        .agg(
+            *exprs(
+                COPIES,
+                "max(if(order_status = 'delivered', 1, 0)) as delivered",
+                "max(if(order_status = 'canceled', 1, 0)) as canceled",
+                "sum(days) as days",
+                "count(days) as deliveries",
+            )
+        )
     )
-    known = F.col("order_id").isNotNull()
-    times = F.col("copies")
-    by_month = joined.groupBy("month").agg(
-        F.count("order_id").alias("orders"),
-        F.sum(F.when(known, F.col("delivered"))).alias("delivered_orders"),
-        F.sum(F.when(known, F.col("canceled"))).alias("cancelled_orders"),
-        *sum_totals("revenue", times),
-        *sum_totals("freight", times),
-        F.sum("days").alias("days"),
-        F.sum("deliveries").alias("deliveries"),
-        F.sum(F.col("score") * times).alias("scores"),
-        F.sum(F.when(F.col("score").isNotNull(), times)).alias("reviewed"),
+    by_month = (
+        by_order.join(_totals(shop), "order_id", "left")
+        .join(review_scores(shop.order_reviews), "order_id", "left")
+        .groupBy("month")
+        .agg(
+            *exprs(
+                "count(order_id) as orders",
+                "sum(if(order_id is not null, delivered, 0)) as delivered_orders",
+                "sum(if(order_id is not null, canceled, 0)) as cancelled_orders",
+                "sum(days) as days",
+                "sum(deliveries) as deliveries",
+                "sum(score * copies) as scores",
+                "sum(if(score is not null, copies, 0)) as reviewed",
+            ),
+            *sum_totals("revenue", times="copies"),
+            *sum_totals("freight", times="copies"),
+        )
     )
-    return by_month.select(
+    return by_month.selectExpr(
         "month",
         "orders",
-        _number("delivered_orders"),
-        _number("cancelled_orders"),
-        total("revenue").alias("revenue"),
-        total("freight").alias("freight"),
-        _mean(total("revenue"), F.col("orders")).alias("avg_order_value"),
-        _mean(F.col("days"), F.col("deliveries")).alias("avg_delivery_days"),
-        _mean(F.col("scores"), F.col("reviewed")).alias("avg_review_score"),
+        "delivered_orders",
+        "cancelled_orders",
+        f"{total('revenue')} as revenue",
+        f"{total('freight')} as freight",
+        f"try_divide({total('revenue')}, orders) as avg_order_value",
+        "try_divide(days, deliveries) as avg_delivery_days",
+        "try_divide(scores, reviewed) as avg_review_score",
     )
 
 
 def product_analytics(shop: Shop) -> DataFrame:
     """Sales of every product, sold or not."""
-    baskets = shop.order_items.groupBy("product_id", "order_id").agg(
-        F.count(F.lit(1)).alias("units"),
-        *sum_amounts("price", F.col("price")),
-        *sum_amounts("freight", F.col("freight_value")),
-    )
-    sales = baskets.groupBy("product_id").agg(
-        F.count("order_id").alias("total_orders"),
-        F.sum("units").alias("units"),
-        *sum_totals("price"),
-        *sum_totals("freight"),
+    sales = (
+        shop.order_items.groupBy("product_id", "order_id")
+        .agg(
+            *exprs("count(1) as units"),
+            *sum_amounts("price", "price"),
+            *sum_amounts("freight", "freight_value"),
+        )
+        .groupBy("product_id")
+        .agg(
+            *exprs("count(order_id) as total_orders", "sum(units) as units"),
+            *sum_totals("price"),
+            *sum_totals("freight"),
+        )
     )
     offers = (
         shop.order_items.select("product_id", "seller_id")
         .distinct()
         .groupBy("product_id")
-        .agg(F.count("seller_id").alias("unique_sellers"))
+        .agg(*exprs("count(seller_id) as unique_sellers"))
     )
     names = ["product_id", "product_category_name", "product_category_name_english"]
-    dimension = product_names(shop.products, shop.category_translation).groupBy(names).agg(copies())
-    times = F.col("copies")
-    sold_in_an_order = F.col("total_orders") > 0
+    products = product_names(shop.products, shop.category_translation).groupBy(names).agg(*exprs(COPIES))
     return (
-        dimension.join(sales, "product_id", "left")
+        products.join(sales, "product_id", "left")
         .join(offers, "product_id", "left")
-        .select(
+        .selectExpr(
             *names,
-            _number("total_orders"),
-            (F.coalesce(F.col("units"), F.lit(0)) * times).alias("units_sold"),
-            total("price", "freight", times=times).alias("revenue"),
-            total("freight", times=times).alias("freight_revenue"),
-            F.when(sold_in_an_order, _mean(total("price"), F.col("units"))).alias("avg_price"),
-            _number("unique_sellers"),
+            "coalesce(total_orders, 0) as total_orders",
+            "coalesce(units * copies, 0) as units_sold",
+            f"{total('price', 'freight', times='copies')} as revenue",
+            f"{total('freight', times='copies')} as freight_revenue",
+            f"if(total_orders > 0, {total('price')} / units, null) as avg_price",
+            "coalesce(unique_sellers, 0) as unique_sellers",
         )
     )
 
 
 def category_analytics(shop: Shop) -> DataFrame:
     """Sales by category, English name first; categories without sales are kept."""
-    english = F.col("product_category_name_english")
     dimension = (
         product_names(shop.products, shop.category_translation)
-        .select(
-            "product_id",
-            F.coalesce(english, F.col("product_category_name"), F.lit(UNCATEGORIZED)).alias("category"),
-            english.alias("category_english"),
-        )
-        .groupBy("product_id", "category", "category_english")
-        .agg(copies())
+        .selectExpr("product_id", *CATEGORY)
+        .groupBy("product_id", "category", "translated")
+        .agg(*exprs(COPIES))
     )
-    times = F.col("copies")
     # Both sides reach this join straight from a shuffle, so adaptive execution
     # can split a product that holds a large share of the items.
-    baskets = (
+    sales = (
         shop.order_items.select("product_id", "order_id", "price", "freight_value")
         .join(dimension, "product_id")
-        .groupBy("category", "category_english", "order_id")
+        .groupBy("category", "translated", "order_id")
         .agg(
-            F.sum(times).alias("units"),
-            *sum_amounts("price", F.col("price"), times=times),
-            *sum_amounts("freight", F.col("freight_value"), times=times),
+            *exprs("sum(copies) as units"),
+            *sum_amounts("price", "price", times="copies"),
+            *sum_amounts("freight", "freight_value", times="copies"),
+        )
+        .groupBy("category", "translated")
+        .agg(
+            *exprs("count(order_id) as orders", "sum(units) as units"),
+            *sum_totals("price"),
+            *sum_totals("freight"),
         )
     )
-    sales = baskets.groupBy("category", "category_english").agg(
-        F.count("order_id").alias("orders"),
-        F.sum("units").alias("units"),
-        *sum_totals("price"),
-        *sum_totals("freight"),
-    )
-    categories = _category_dimension(shop)
-    same = (categories["category"] == sales["category"]) & categories["category_english"].eqNullSafe(
-        sales["category_english"]
-    )
-    return categories.join(sales, same, "left").select(
-        categories["category"],
-        categories["category_english"],
-        _number("orders"),
-        F.coalesce(F.col("units"), F.lit(0)).cast("bigint").alias("units_sold"),
-        total("price", "freight").alias("revenue"),
-        total("freight").alias("freight_revenue"),
-        F.when(F.col("orders") > 0, _mean(total("price"), F.col("units"))).alias("avg_price"),
+    return (
+        _categories(shop)
+        .join(sales, ["category", "translated"], "left")
+        .selectExpr(
+            "category",
+            "if(translated, category, null) as category_english",
+            "coalesce(orders, 0) as orders",
+            "coalesce(units, 0) as units_sold",
+            f"{total('price', 'freight')} as revenue",
+            f"{total('freight')} as freight_revenue",
+            f"if(orders > 0, {total('price')} / units, null) as avg_price",
+        )
     )
 
 
-def _category_dimension(shop: Shop) -> DataFrame:
-    """Every ``(category, category_english)`` of the products.
+def _categories(shop: Shop) -> DataFrame:
+    """Every ``(category, translated)`` of the products.
 
-    The names are joined after the products are reduced to their categories, so
-    only one row per category meets the translations.
+    Products are reduced to their categories first, so only one row per
+    category meets the translations.
     """
-    english = F.col("product_category_name_english")
     return (
         shop.products.select("product_category_name")
         .distinct()
         .join(category_names(shop.category_translation), "product_category_name", "left")
-        .select(
-            F.coalesce(english, F.col("product_category_name"), F.lit(UNCATEGORIZED)).alias("category"),
-            english.alias("category_english"),
-        )
+        .selectExpr(*CATEGORY)
         .distinct()
     )
 
@@ -192,55 +185,62 @@ def _category_dimension(shop: Shop) -> DataFrame:
 def seller_analytics(shop: Shop) -> DataFrame:
     """Every seller's own lines; items of unknown orders count, unknown sellers do not."""
     baskets = shop.order_items.groupBy("seller_id", "order_id").agg(
-        *sum_amounts("price", F.col("price")), *sum_amounts("freight", F.col("freight_value"))
+        *sum_amounts("price", "price"), *sum_amounts("freight", "freight_value")
     )
-    days = delivery_days()
-    by_order = shop.orders.groupBy("order_id").agg(
-        copies(),
-        F.max(_flag(F.col("order_status") == "delivered")).alias("delivered"),
-        F.sum(days).alias("days"),
-        F.count(days).alias("deliveries"),
+    by_order = (
+        shop.orders.selectExpr("order_id", "order_status", f"{DELIVERY_DAYS} as days")
+        .groupBy("order_id")
+        .agg(
+            *exprs(
+                COPIES,
+                "max(if(order_status = 'delivered', 1, 0)) as delivered",
+                "sum(days) as days",
+                "count(days) as deliveries",
+            )
+        )
     )
-    times = F.coalesce(F.col("copies"), F.lit(1))
     sales = (
         baskets.join(by_order, "order_id", "left")
         .groupBy("seller_id")
         .agg(
-            F.count("order_id").alias("orders"),
-            F.sum("delivered").alias("delivered_orders"),
-            *sum_totals("price", times),
-            *sum_totals("freight", times),
-            F.sum("days").alias("days"),
-            F.sum("deliveries").alias("deliveries"),
+            *exprs(
+                "count(order_id) as orders",
+                "sum(delivered) as delivered_orders",
+                "sum(days) as days",
+                "sum(deliveries) as deliveries",
+            ),
+            *sum_totals("price", times="coalesce(copies, 1)"),
+            *sum_totals("freight", times="coalesce(copies, 1)"),
         )
     )
-    sellers = shop.sellers.groupBy("seller_id").agg(copies())
-    revenue = total("price", "freight", times=F.col("copies"))
-    return sellers.join(sales, "seller_id", "left").select(
+    sellers = shop.sellers.groupBy("seller_id").agg(*exprs(COPIES))
+    revenue = total("price", "freight", times="copies")
+    return sellers.join(sales, "seller_id", "left").selectExpr(
         "seller_id",
-        _number("orders"),
-        revenue.alias("revenue"),
-        total("freight", times=F.col("copies")).alias("freight_revenue"),
-        _mean(revenue, F.col("orders")).alias("avg_order_value"),
-        _mean(F.col("days"), F.col("deliveries")).alias("avg_delivery_days"),
-        _number("delivered_orders"),
+        "coalesce(orders, 0) as orders",
+        f"{revenue} as revenue",
+        f"{total('freight', times='copies')} as freight_revenue",
+        f"try_divide({revenue}, orders) as avg_order_value",
+        "try_divide(days, deliveries) as avg_delivery_days",
+        "coalesce(delivered_orders, 0) as delivered_orders",
     )
 
 
 def customer_analytics(shop: Shop) -> DataFrame:
     """Spending of every customer, with or without orders."""
-    purchase = zoneless(F.col("order_purchase_timestamp"))
-    by_order = shop.orders.groupBy("order_id", "customer_id").agg(
-        copies(), F.min(purchase).alias("first_order"), F.max(purchase).alias("last_order")
-    )
     sales = (
-        by_order.join(_totals(shop), "order_id", "left")
+        shop.orders.selectExpr("order_id", "customer_id", f"{zoneless('order_purchase_timestamp')} as purchase")
+        .groupBy("order_id", "customer_id")
+        .agg(*exprs(COPIES, "min(purchase) as first_order", "max(purchase) as last_order"))
+        .join(_totals(shop), "order_id", "left")
         .groupBy("customer_id")
         .agg(
-            F.count("order_id").alias("orders"),
-            *sum_totals("revenue", F.col("copies")),
-            F.min("first_order").alias("first_order"),
-            F.max("last_order").alias("last_order"),
+            *exprs(
+                "count(order_id) as orders",
+                "min(first_order) as first_order",
+                "max(last_order) as last_order",
+            ),
+            *sum_totals("revenue", times="copies"),
         )
     )
     attributes = [
@@ -250,13 +250,13 @@ def customer_analytics(shop: Shop) -> DataFrame:
         "customer_city",
         "customer_state",
     ]
-    customers = shop.customers.groupBy(attributes).agg(copies())
-    spent = total("revenue", times=F.col("copies"))
-    return customers.join(sales, "customer_id", "left").select(
+    customers = shop.customers.groupBy(attributes).agg(*exprs(COPIES))
+    spent = total("revenue", times="copies")
+    return customers.join(sales, "customer_id", "left").selectExpr(
         *attributes,
-        _number("orders"),
-        spent.alias("total_spent"),
-        _mean(spent, F.col("orders")).alias("avg_order_value"),
+        "coalesce(orders, 0) as orders",
+        f"{spent} as total_spent",
+        f"try_divide({spent}, orders) as avg_order_value",
         "first_order",
         "last_order",
     )
@@ -264,49 +264,46 @@ def customer_analytics(shop: Shop) -> DataFrame:
 
 def geography_analytics(shop: Shop) -> DataFrame:
     """Sales by customer state; the NULL state and states without orders are kept."""
-    days = delivery_days()
-    homes = shop.customers.groupBy("customer_id", F.col("customer_state").alias("state")).agg(copies())
-    times = F.col("copies")
-    # Both sides reach this join straight from a shuffle, so adaptive execution
-    # can split a customer that holds a large share of the orders.
-    by_order = (
-        shop.orders.select("customer_id", "order_id", days.alias("days"))
+    people = shop.customers.selectExpr("customer_id", "customer_state as state", "customer_unique_id")
+    homes = people.groupBy("customer_id", "state").agg(*exprs(COPIES))
+    # Both sides reach the first join straight from a shuffle, so adaptive
+    # execution can split a customer that holds a large share of the orders.
+    sales = (
+        shop.orders.selectExpr("customer_id", "order_id", f"{DELIVERY_DAYS} as days")
         .join(homes, "customer_id")
         .groupBy("state", "order_id")
         .agg(
-            F.sum(times).alias("copies"),
-            F.sum(F.col("days") * times).alias("days"),
-            F.sum(F.when(F.col("days").isNotNull(), times)).alias("deliveries"),
+            *exprs(
+                "sum(copies) as copies",
+                "sum(days * copies) as days",
+                "sum(if(days is not null, copies, 0)) as deliveries",
+            )
         )
-    )
-    sales = (
-        by_order.join(_totals(shop).select("order_id", "revenue_hi", "revenue_lo", "revenue_rest"), "order_id", "left")
+        .join(_totals(shop), "order_id", "left")
         .groupBy("state")
         .agg(
-            F.count("order_id").alias("orders"),
-            *sum_totals("revenue", times),
-            F.sum("days").alias("days"),
-            F.sum("deliveries").alias("deliveries"),
+            *exprs("count(order_id) as orders", "sum(days) as days", "sum(deliveries) as deliveries"),
+            *sum_totals("revenue", times="copies"),
         )
     )
     buyers = (
-        shop.customers.select("customer_id", F.col("customer_state").alias("state"), "customer_unique_id")
-        .join(shop.orders.select("customer_id").distinct(), "customer_id", "left_semi")
+        people.join(shop.orders.select("customer_id").distinct(), "customer_id", "left_semi")
         .select("state", "customer_unique_id")
         .distinct()
         .groupBy("state")
-        .agg(F.count("customer_unique_id").alias("unique_customers"))
+        .agg(*exprs("count(customer_unique_id) as unique_customers"))
     )
-    states = shop.customers.select(F.col("customer_state").alias("state")).distinct()
     return (
-        states.join(sales, states["state"].eqNullSafe(sales["state"]), "left")
-        .drop(sales["state"])
-        .join(buyers, states["state"].eqNullSafe(buyers["state"]), "left")
-        .select(
-            states["state"],
-            _number("unique_customers"),
-            _number("orders"),
-            total("revenue").alias("revenue"),
-            _mean(F.col("days"), F.col("deliveries")).alias("avg_delivery_days"),
+        people.select("state")
+        .distinct()
+        .alias("d")
+        .join(sales.alias("s"), exprs("d.state <=> s.state")[0], "left")
+        .join(buyers.alias("b"), exprs("d.state <=> b.state")[0], "left")
+        .selectExpr(
+            "d.state",
+            "coalesce(unique_customers, 0) as unique_customers",
+            "coalesce(orders, 0) as orders",
+            f"{total('revenue')} as revenue",
+            "try_divide(days, deliveries) as avg_delivery_days",
         )
     )

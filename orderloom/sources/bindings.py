@@ -7,7 +7,7 @@ of unknown orders, orders with several payments and reviews.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.sources.shop import Shop
@@ -38,44 +38,36 @@ TABLE_SCHEMAS = {
 }
 
 
-def _zip(nation_key: str) -> Column:
-    return F.lpad(F.col(nation_key).cast("string"), 5, "0")
-
-
-def _later(column: str, interval: str) -> Column:
-    return F.expr(f"{column} + INTERVAL {interval}")
-
-
 def customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
-    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_custkey").alias("customer_id"),
-        (F.col("c_custkey") - F.col("c_custkey") % 2).alias("customer_unique_id"),
-        _zip("c_nationkey").alias("customer_zip_code_prefix"),
-        F.col("c_mktsegment").alias("customer_city"),
-        F.when(F.col("c_nationkey") != 0, F.col("n_name")).alias("customer_state"),
+    return customer.join(nation, F.expr("c_nationkey = n_nationkey")).selectExpr(
+        "c_custkey as customer_id",
+        "c_custkey - c_custkey % 2 as customer_unique_id",
+        "lpad(cast(c_nationkey as string), 5, '0') as customer_zip_code_prefix",
+        "c_mktsegment as customer_city",
+        "if(c_nationkey = 0, null, n_name) as customer_state",
     )
 
 
 def sellers(supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("seller_id"),
-        _zip("s_nationkey").alias("seller_zip_code_prefix"),
-        F.col("s_name").alias("seller_city"),
-        F.col("n_name").alias("seller_state"),
+    return supplier.join(nation, F.expr("s_nationkey = n_nationkey")).selectExpr(
+        "s_suppkey as seller_id",
+        "lpad(cast(s_nationkey as string), 5, '0') as seller_zip_code_prefix",
+        "s_name as seller_city",
+        "n_name as seller_state",
     )
 
 
 def products(part: DataFrame) -> DataFrame:
-    return part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.when(F.col("p_type") != "PROMO", F.lower("p_type")).alias("product_category_name"),
-        F.length("p_name").cast("bigint").alias("product_name_lenght"),
-        F.length("p_brand").cast("bigint").alias("product_description_lenght"),
-        (F.col("p_size") % 7).cast("bigint").alias("product_photos_qty"),
-        (F.col("p_size") * 10).cast("bigint").alias("product_weight_g"),
-        F.col("p_size").cast("bigint").alias("product_length_cm"),
-        (F.col("p_size") + 1).cast("bigint").alias("product_height_cm"),
-        (F.col("p_size") + 2).cast("bigint").alias("product_width_cm"),
+    return part.selectExpr(
+        "p_partkey as product_id",
+        "if(p_type = 'PROMO', null, lower(p_type)) as product_category_name",
+        "cast(length(p_name) as bigint) as product_name_lenght",
+        "cast(length(p_brand) as bigint) as product_description_lenght",
+        "cast(p_size % 7 as bigint) as product_photos_qty",
+        "cast(p_size * 10 as bigint) as product_weight_g",
+        "cast(p_size as bigint) as product_length_cm",
+        "cast(p_size + 1 as bigint) as product_height_cm",
+        "cast(p_size + 2 as bigint) as product_width_cm",
     )
 
 
@@ -86,65 +78,61 @@ def translations(spark: SparkSession) -> DataFrame:
 
 def orders(order_table: DataFrame, lineitem: DataFrame) -> DataFrame:
     shipping = lineitem.groupBy("l_orderkey").agg(
-        F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship")
+        F.expr("min(l_shipdate) as first_ship"), F.expr("max(l_shipdate) as last_ship")
     )
     placed = order_table.where("o_custkey % 10 <> 0")
-    status = (
-        F.when(F.col("o_orderstatus") == "F", "delivered")
-        .when(F.col("o_orderstatus") == "O", "shipped")
-        .otherwise("canceled")
-    )
-    return placed.join(shipping, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        status.alias("order_status"),
-        _later("o_orderdate", "23 HOUR").alias("order_purchase_timestamp"),
-        F.when(F.col("o_orderkey") % 100 != 0, _later("o_orderdate", "24 HOUR")).alias("order_approved_at"),
-        F.col("first_ship").alias("order_delivered_carrier_date"),
-        F.when(F.col("o_orderstatus") == "F", F.col("last_ship")).alias("order_delivered_customer_date"),
-        _later("o_orderdate", "30 DAY").alias("order_estimated_delivery_date"),
+    return placed.join(shipping, F.expr("o_orderkey = l_orderkey"), "left").selectExpr(
+        "o_orderkey as order_id",
+        "o_custkey as customer_id",
+        "case o_orderstatus when 'F' then 'delivered' when 'O' then 'shipped' else 'canceled' end as order_status",
+        "o_orderdate + interval 23 hour as order_purchase_timestamp",
+        "if(o_orderkey % 100 = 0, null, o_orderdate + interval 24 hour) as order_approved_at",
+        "first_ship as order_delivered_carrier_date",
+        "if(o_orderstatus = 'F', last_ship, null) as order_delivered_customer_date",
+        "o_orderdate + interval 30 day as order_estimated_delivery_date",
     )
 
 
 def items(lineitem: DataFrame) -> DataFrame:
-    freight = F.col("l_extendedprice").cast("decimal(12,2)") * F.col("l_tax").cast("decimal(4,2)")
-    return lineitem.where("l_partkey % 50 <> 0 and l_suppkey % 25 <> 0").select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").cast("bigint").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
-        F.col("l_extendedprice").alias("price"),
-        F.when(F.col("l_tax") != 0, freight.cast("double")).alias("freight_value"),
+    # Whole cents and whole percents are exact in doubles, and so is their product.
+    freight = "rint(l_extendedprice * 100) * rint(l_tax * 100) / 10000"
+    return lineitem.where("l_partkey % 50 <> 0 and l_suppkey % 25 <> 0").selectExpr(
+        "l_orderkey as order_id",
+        "cast(l_linenumber as bigint) as order_item_id",
+        "l_partkey as product_id",
+        "l_suppkey as seller_id",
+        "l_shipdate as shipping_limit_date",
+        "l_extendedprice as price",
+        f"if(l_tax = 0, null, {freight}) as freight_value",
     )
 
 
 def payments(order_table: DataFrame) -> DataFrame:
-    first = order_table.where("o_orderkey % 7 <> 0").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.lit(1).cast("bigint").alias("payment_sequential"),
-        F.lower("o_orderpriority").alias("payment_type"),
-        (1 + F.col("o_orderkey") % 10).alias("payment_installments"),
-        F.col("o_totalprice").alias("payment_value"),
+    first = order_table.where("o_orderkey % 7 <> 0").selectExpr(
+        "o_orderkey as order_id",
+        "1L as payment_sequential",
+        "lower(o_orderpriority) as payment_type",
+        "1 + o_orderkey % 10 as payment_installments",
+        "o_totalprice as payment_value",
     )
-    voucher = order_table.where("o_orderkey % 5 = 0").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.lit(2).cast("bigint").alias("payment_sequential"),
-        F.lit("voucher").alias("payment_type"),
-        F.lit(1).cast("bigint").alias("payment_installments"),
-        F.lit(10.5).alias("payment_value"),
+    voucher = order_table.where("o_orderkey % 5 = 0").selectExpr(
+        "o_orderkey as order_id",
+        "2L as payment_sequential",
+        "'voucher' as payment_type",
+        "1L as payment_installments",
+        "10.5D as payment_value",
     )
-    return first.unionByName(voucher)
+    return first.union(voucher)
 
 
 def reviews(events: DataFrame) -> DataFrame:
-    return events.select(
-        F.col("event_id").alias("review_id"),
-        F.col("user_id").alias("order_id"),
-        (1 + F.col("event_id") % 5).alias("review_score"),
-        F.when(F.col("event_type") != "error", F.col("event_type")).alias("review_comment_title"),
-        F.col("ts").alias("review_creation_date"),
-        _later("ts", "1 DAY").alias("review_answer_timestamp"),
+    return events.selectExpr(
+        "event_id as review_id",
+        "user_id as order_id",
+        "1 + event_id % 5 as review_score",
+        "if(event_type = 'error', null, event_type) as review_comment_title",
+        "ts as review_creation_date",
+        "ts + interval 1 day as review_answer_timestamp",
     )
 
 
@@ -155,12 +143,12 @@ def bind(spark: SparkSession, folder: str) -> Shop:
         return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
     return Shop(
-        customers=customers(table("customer"), table("nation")),
-        sellers=sellers(table("supplier"), table("nation")),
-        products=products(table("part")),
-        category_translation=translations(spark),
-        orders=orders(table("orders"), table("lineitem")),
-        order_items=items(table("lineitem")),
-        order_payments=payments(table("orders")),
-        order_reviews=reviews(table("events")),
+        customers=lambda: customers(table("customer"), table("nation")),
+        sellers=lambda: sellers(table("supplier"), table("nation")),
+        products=lambda: products(table("part")),
+        category_translation=lambda: translations(spark),
+        orders=lambda: orders(table("orders"), table("lineitem")),
+        order_items=lambda: items(table("lineitem")),
+        order_payments=lambda: payments(table("orders")),
+        order_reviews=lambda: reviews(table("events")),
     )

@@ -1,0 +1,170 @@
+"""Exact sums, day arithmetic and lenient readings on literal values."""
+
+import math
+from datetime import date, datetime
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from orderloom.functions import coerce
+from orderloom.functions.moments import days_between, iso_moment, month_start
+from orderloom.functions.money import sum_amounts, sum_totals, total
+from conftest import session_settings
+
+
+def one(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+def summed(spark, values, times=1):
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    if times != 1:
+        rows = rows.crossJoin(spark.range(times).drop("id"))
+    by_row = rows.withColumn("k", F.monotonically_increasing_id()).groupBy("k").agg(*sum_amounts("x", "x"))
+    return by_row.agg(*sum_totals("x")).selectExpr(total("x")).first()[0]
+
+
+def test_sums_are_exact(spark):
+    assert summed(spark, [0.1] * 10) == 1.0
+    assert summed(spark, [1e10, 0.0001, -1e10]) == 0.0001
+    assert summed(spark, [-0.01, -0.02, None]) == -0.03
+
+
+def test_sum_of_nothing_is_zero(spark):
+    assert summed(spark, [None]) == 0.0
+    empty = spark.createDataFrame([], "x double")
+    assert empty.agg(*sum_amounts("x", "x")).selectExpr(total("x")).first()[0] == 0.0
+
+
+def test_sums_carry_what_limbs_cannot_hold(spark):
+    assert math.isnan(summed(spark, [1.0, float("nan")]))
+    assert summed(spark, [1.0, float("inf")]) == float("inf")
+    assert math.isnan(summed(spark, [float("inf"), float("-inf")]))
+    assert summed(spark, [1e300, 1.0]) == 1e300
+
+
+def test_sums_beyond_one_long_do_not_overflow(spark):
+    # 200,000 rows just below 1e11 are 2e16: in units of 1/10,000 more than a bigint holds.
+    assert summed(spark, [99_999_999_999.0], times=200_000) == 99_999_999_999.0 * 200_000
+
+
+def test_sum_counts_rows_several_times(spark):
+    rows = spark.createDataFrame([(1.5, 2), (2.25, 3)], "x double, n bigint")
+    assert rows.agg(*sum_amounts("x", "x", times="n")).selectExpr(total("x")).first()[0] == 9.75
+
+
+def test_sum_of_decimal_and_whole_columns(spark):
+    rows = spark.createDataFrame([(Decimal("1.10"), 2)], "x decimal(10,2), y bigint")
+    assert rows.agg(*sum_amounts("z", "x", "y")).selectExpr(total("z")).first()[0] == 3.1
+
+
+@pytest.mark.parametrize(
+    "start, end, expected",
+    [
+        ("2024-01-01 23:30:00", "2024-01-02 00:30:00", 1),
+        ("2024-01-01 00:30:00", "2024-01-01 23:30:00", 0),
+        ("2024-01-02 00:30:00", "2024-01-01 23:30:00", -1),
+        ("2024-02-28 12:00:00", "2024-03-01 12:00:00", 2),
+    ],
+)
+def test_days_are_midnights_crossed(spark, start, end, expected):
+    assert one(spark, F.expr(days_between(f"timestamp_ntz'{start}'", f"timestamp_ntz'{end}'"))) == expected
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo", "Asia/Tokyo"])
+def test_times_do_not_depend_on_the_session_time_zone(spark, zone):
+    with session_settings(spark, {"spark.sql.session.timeZone": zone}):
+        assert one(spark, F.expr(month_start("timestamp_ntz'2018-10-21 00:30:00'"))) == datetime(2018, 10, 1)
+        assert one(spark, iso_moment(F.lit("2024-01-01T01:00:00+02:00"))) == datetime(2023, 12, 31, 23)
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("2024-01-01", datetime(2024, 1, 1)),
+        (" 2024-01-01T10:11:12 ", datetime(2024, 1, 1, 10, 11, 12)),
+        ("2024-01-01 10:11", datetime(2024, 1, 1, 10, 11)),
+        ("2024-01-01 10:11:12.5", datetime(2024, 1, 1, 10, 11, 12, 500000)),
+        ("2024-01-01T10:11:12Z", datetime(2024, 1, 1, 10, 11, 12)),
+        ("2024-01-01T10:11:12-03:00", datetime(2024, 1, 1, 13, 11, 12)),
+        ("2024", None),
+        ("2024-13-01", None),
+        ("yesterday", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_iso_text_as_a_moment(spark, text, expected):
+    assert one(spark, iso_moment(F.lit(text).cast("string"))) == expected
+
+
+def read(spark, reader, value, kind):
+    frame = spark.createDataFrame([(value,)], T.StructType([T.StructField("v", kind)]))
+    return frame.select(reader(F.col("v"), kind)).first()[0]
+
+
+TEXT, DOUBLE, LONG = T.StringType(), T.DoubleType(), T.LongType()
+
+
+@pytest.mark.parametrize(
+    "value, kind, expected",
+    [
+        (None, LONG, 0),
+        (7, LONG, 7),
+        (12.7, DOUBLE, 12),
+        (-12.7, DOUBLE, -12),
+        (float("nan"), DOUBLE, 0),
+        (float("inf"), DOUBLE, 0),
+        (Decimal("3.9"), T.DecimalType(5, 1), 3),
+        (True, T.BooleanType(), 1),
+        (" 12 ", TEXT, 12),
+        ("-3", TEXT, -3),
+        ("12.5", TEXT, 0),
+        ("many", TEXT, 0),
+        ("", TEXT, 0),
+        (date(2024, 1, 1), T.DateType(), 0),
+    ],
+)
+def test_counts(spark, value, kind, expected):
+    assert read(spark, coerce.as_count, value, kind) == expected
+
+
+@pytest.mark.parametrize(
+    "value, kind, expected",
+    [
+        (None, DOUBLE, None),
+        (1.5, DOUBLE, 1.5),
+        (2, LONG, 2.0),
+        (Decimal("2.50"), T.DecimalType(5, 2), 2.5),
+        (float("nan"), DOUBLE, None),
+        (float("-inf"), DOUBLE, None),
+        (" 1.5e2 ", TEXT, 150.0),
+        (".5", TEXT, 0.5),
+        ("1.5d", TEXT, None),
+        ("nan", TEXT, None),
+        ("Infinity", TEXT, None),
+        ("1e999", TEXT, None),
+        ("  ", TEXT, None),
+        ("abc", TEXT, None),
+        (date(2024, 1, 1), T.DateType(), None),
+    ],
+)
+def test_floats_and_money(spark, value, kind, expected):
+    assert read(spark, coerce.as_float, value, kind) == expected
+    assert read(spark, coerce.as_money, value, kind) == (0.0 if expected is None else expected)
+
+
+@pytest.mark.parametrize(
+    "value, kind, expected",
+    [
+        (date(2024, 1, 2), T.DateType(), datetime(2024, 1, 2)),
+        (datetime(2024, 1, 2, 3), T.TimestampNTZType(), datetime(2024, 1, 2, 3)),
+        ("2024-01-02T03:00:00Z", TEXT, datetime(2024, 1, 2, 3)),
+        ("soon", TEXT, None),
+        (5, LONG, None),
+    ],
+)
+def test_moments(spark, value, kind, expected):
+    assert read(spark, coerce.as_moment, value, kind) == expected

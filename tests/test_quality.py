@@ -1,0 +1,95 @@
+"""Quality checks against plain counting, and the rendered report."""
+
+import pytest
+
+import dirty
+import orderloom as ol
+from orderloom.operators import quality
+from orderloom.sources.catalog import DATASETS, DATE_RULES, KEYS, RELATIONS
+
+
+@pytest.fixture(scope="module")
+def tables():
+    return dirty.rows()
+
+
+@pytest.fixture(scope="module")
+def shop(spark, tables):
+    return dirty.shop(spark, tables)
+
+
+def test_row_counts(shop, tables):
+    assert {r["dataset"]: r["rows"] for r in quality.row_counts(shop).collect()} == {n: len(t) for n, t in tables.items()}
+
+
+def test_missing_values(shop, tables):
+    expected = {}
+    for name, rows in tables.items():
+        for column in DATASETS[name].schema.names:
+            n = sum(1 for r in rows if r[column] is None or not str(r[column]).strip(" "))
+            if n:
+                expected[name, column] = (n, n / len(rows) * 100)
+    found = {(r["dataset"], r["column"]): (r["missing"], r["percent"]) for r in quality.missing_values(shop).collect()}
+    assert found.keys() == expected.keys()
+    for key, (n, percent) in expected.items():
+        assert found[key] == (n, pytest.approx(percent))
+
+
+def test_missing_values_of_an_empty_table(shop, tables, spark):
+    empty = dirty.shop(spark, tables | {"sellers": []})
+    assert quality.missing_values(empty).where("dataset = 'sellers'").isEmpty()
+
+
+def test_column_names_are_quoted(spark):
+    table = spark.createDataFrame([(None, 1)], "`it's a.name` string, `b``c` int")
+    assert quality.profile("x", table).first()["missing:it's a.name"] == 1
+
+
+def test_duplicate_keys(shop, tables):
+    expected = {n: len(tables[n]) - len({tuple(r[c] for c in k) for r in tables[n]}) for n, k in KEYS.items()}
+    assert {r["dataset"]: r["duplicates"] for r in quality.duplicate_keys(shop).collect()} == expected
+    assert all(expected.values())
+
+
+def test_orphans(shop, tables):
+    expected = {}
+    for relation in RELATIONS:
+        known = {r[relation.key] for r in tables[relation.parent]}
+        keys = [r[relation.key] for r in tables[relation.child]]
+        expected[relation.label] = sum(1 for k in keys if k is not None and k not in known)
+    assert {r["relation"]: r["orphans"] for r in quality.orphans(shop).collect()} == expected
+    assert all(expected.values())
+
+
+def test_date_order(shop, tables):
+    expected = {}
+    for rule in DATE_RULES:
+        pairs = [(r[rule.later], r[rule.earlier]) for r in tables["orders"]]
+        expected[rule.label] = sum(1 for later, earlier in pairs if later and earlier and later < earlier)
+    found = quality.date_order(shop.orders).collect()
+    assert {r["rule"]: r["violations"] for r in found} == expected
+    assert all(expected.values())
+    assert [(r["later"], r["earlier"]) for r in found] == [(rule.later, rule.earlier) for rule in DATE_RULES]
+
+
+def test_unreadable_dates_are_not_compared(spark):
+    columns = sorted({c for rule in DATE_RULES for c in (rule.later, rule.earlier)})
+    orders = spark.createDataFrame([("never",) * len(columns)], ", ".join(f"{c} string" for c in columns))
+    assert {r["violations"] for r in quality.date_order(orders).collect()} == {0}
+
+
+def test_report(shop, tables):
+    text = ol.quality_report(shop)
+    sections = [line for line in text.splitlines() if line.startswith("## ")]
+    assert [s.split()[1] for s in sections] == [f"{i}." for i in range(1, 8)]
+    assert "| `order_items` | 300 |" in text
+    assert "| `order_purchase_timestamp` | `TIMESTAMP` |" in text
+    assert "No missing values found." in text
+    share = sum(1 for o in tables["orders"] if o["order_id"] is None) / 120 * 100
+    assert f"| {share:.2f}% |" in text
+    assert "| delivered before carrier | " in text
+
+
+def test_report_numbers_have_separators(spark, tables):
+    many = dirty.shop(spark, tables | {"sellers": tables["sellers"] * 500})
+    assert "| `sellers` | 5,000 |" in ol.quality_report(many)
