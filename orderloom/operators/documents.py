@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.moments import zoneless
@@ -112,13 +112,32 @@ def _nest_parts(child: DataFrame, array: str, large: DataFrame, rows: int) -> Da
     return _nest(members.withColumn("part", F.pmod(number, "parts")).drop("parts"), array, "order_id", "part")
 
 
-def order_documents(shop: Shop, limit: int = NEST_LIMIT) -> OrderDocuments:
-    """Assemble the order documents. Order ids should be unique in the orders table."""
+def by_customer_newest_first(key: str) -> list[Column]:
+    """Sort order of the order table: customer, newest order, key."""
+    return [
+        F.asc_nulls_first("customer_id"),
+        F.desc_nulls_last("order_purchase_timestamp"),
+        F.asc_nulls_first(key),
+    ]
+
+
+def order_documents(shop: Shop, limit: int = NEST_LIMIT, files: int | None = None) -> OrderDocuments:
+    """Assemble the order documents. Order ids should be unique in the orders table.
+
+    With ``files``, documents carry the number of the ``file`` they belong to
+    when the table is cut into that many ranges of customer, time and key. The
+    ranges are cut on the narrow orders, before the arrays are joined.
+    """
     children = _children(shop)
-    large = settle(_large_groups(children, limit))
+    large = _large_groups(children, limit)
     rows = large.count()
+    if rows:
+        large = settle(large)
 
     documents = typed_orders(shop.orders)
+    if files is not None:
+        ranges = documents.repartitionByRange(files, *by_customer_newest_first("order_id"))
+        documents = ranges.withColumn("file", F.spark_partition_id())
     overflow = None
     for array, child in children.items():
         child = child.where("order_id is not null")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.operators.contracts import MARTS
-from orderloom.operators.documents import OrderDocuments, order_documents
+from orderloom.operators.documents import OrderDocuments, by_customer_newest_first, order_documents
 from orderloom.operators.facts import order_totals
 from orderloom.operators.loads import clean_dates, keyed
 from orderloom.operators.quality import extra_rows
@@ -33,23 +33,18 @@ def write_table(table: DataFrame, path: str) -> int:
     return observed.get["rows"]
 
 
-def customer_layout(documents: DataFrame) -> DataFrame:
-    """Documents of a customer side by side, newest first.
+def write_documents(shop: Shop, folder: str, files: int | None = None) -> int:
+    """Write the order documents, a customer's orders side by side and newest first.
 
     File and row-group statistics then let a read by customer skip nearly all
-    of the table. The ranges are cut on customer, time and key together, so the
+    of the table. Files are ranges of customer, time and key together, so the
     orders of one very large customer spread over several files.
     """
-    order = [
-        F.col("customer_id").asc_nulls_first(),
-        F.col("order_purchase_timestamp").desc_nulls_last(),
-        F.col("_id").asc_nulls_first(),
-    ]
-    return documents.repartitionByRange(*order).sortWithinPartitions(*order)
-
-
-def write_documents(built: OrderDocuments, folder: str) -> int:
-    written = write_table(customer_layout(built.documents), f"{folder}/{ORDERS}")
+    files = files or int(shop.orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    built = order_documents(shop, files=files)
+    documents = built.documents.repartitionById(files, "file")
+    documents = documents.sortWithinPartitions(*by_customer_newest_first("_id")).drop("file")
+    written = write_table(documents, f"{folder}/{ORDERS}")
     write_table(built.overflow, f"{folder}/{OVERFLOW}")
     return written
 
@@ -84,7 +79,7 @@ def build_all(shop: Shop, folder: str) -> dict[str, int]:
     counts = {}
     for name, key in BUSINESS_KEYS.items():
         counts[name] = write_table(clean_dates(keyed(registry.run(name, shop), key)), f"{folder}/{name}")
-    counts[ORDERS] = write_documents(order_documents(shop), folder)
+    counts[ORDERS] = write_documents(shop, folder)
     staged = with_written_totals(shop)
     for name, contract in MARTS.items():
         mart = keyed(registry.run(name, staged), contract.key)
