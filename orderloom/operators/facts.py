@@ -23,9 +23,21 @@ def exprs(*texts: str) -> list[Column]:
     return [F.expr(text) for text in texts]
 
 
-def order_totals(items: DataFrame) -> DataFrame:
-    """Per order: exact totals ``price``, ``freight`` and their sum ``revenue``."""
-    return items.groupBy("order_id").agg(
+def order_totals(items: DataFrame, splittable: bool = False) -> DataFrame:
+    """Per order: exact totals ``price``, ``freight`` and their sum ``revenue``.
+
+    ``splittable`` totals are grouped on a second, dependent key, so a join on
+    the order shuffles them once more. Adaptive execution splits a skewed join
+    only when both sides come straight from such a shuffle.
+    """
+    if splittable:
+        spread = items.withColumn("spread", F.hash("order_id"))
+        return _totals_by(spread, "order_id", "spread").drop("spread")
+    return _totals_by(items, "order_id")
+
+
+def _totals_by(items: DataFrame, *keys: str) -> DataFrame:
+    return items.groupBy(*keys).agg(
         *sum_amounts("price", "price"),
         *sum_amounts("freight", "freight_value"),
         *sum_amounts("revenue", "price", "freight_value"),

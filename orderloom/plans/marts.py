@@ -30,8 +30,10 @@ CATEGORY = (
 )
 
 
-def _totals(shop: Shop) -> DataFrame:
-    return order_totals(shop.order_items) if shop.order_totals is None else shop.order_totals
+def _totals(shop: Shop, splittable: bool = False) -> DataFrame:
+    if shop.order_totals is not None:
+        return shop.order_totals
+    return order_totals(shop.order_items, splittable)
 
 
 def monthly_metrics(shop: Shop) -> DataFrame:
@@ -228,11 +230,13 @@ def seller_analytics(shop: Shop) -> DataFrame:
 
 def customer_analytics(shop: Shop) -> DataFrame:
     """Spending of every customer, with or without orders."""
+    # An order id may be shared by any number of customers, so this join must be
+    # splittable; in the other marts few rows per order reach it.
     sales = (
         shop.orders.selectExpr("order_id", "customer_id", f"{zoneless('order_purchase_timestamp')} as purchase")
         .groupBy("order_id", "customer_id")
         .agg(*exprs(COPIES, "min(purchase) as first_order", "max(purchase) as last_order"))
-        .join(_totals(shop), "order_id", "left")
+        .join(_totals(shop, splittable=True), "order_id", "left")
         .groupBy("customer_id")
         .agg(
             *exprs(

@@ -7,6 +7,7 @@ import dirty
 import orderloom as ol
 from conftest import session_settings
 from orderloom.operators.facts import order_totals
+from orderloom.plans.registry import run_sorted
 
 
 @pytest.fixture(scope="module")
@@ -90,6 +91,13 @@ def test_every_member_is_present_once(spark, small_folder, name, dimension, key)
     assert mart.exceptAll(members).count() == 0
 
 
+def test_sorted_marts_have_missing_keys_last(shop):
+    states = [r["state"] for r in run_sorted("geography_analytics", shop).collect()]
+    assert states == ["MG", "RJ", "SP", "XX", None]
+    names = [(r["category"], r["category_english"]) for r in run_sorted("category_analytics", shop).collect()]
+    assert names == sorted(names, key=lambda n: (n[0], n[1] is None, n[1]))
+
+
 def test_unknown_query_is_an_error(shop):
     with pytest.raises(KeyError, match="unknown query"):
         ol.run("nope", shop)
