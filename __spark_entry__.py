@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F  # noqa: E402
 from checks import oracle  # noqa: E402
 from orderloom.operators import contracts, loads, quality, serving  # noqa: E402
 from orderloom.operators.documents import order_documents, typed_orders, typed_reviews  # noqa: E402
+from orderloom.operators.staging import shared_folder  # noqa: E402
 from orderloom.plans import aggregates, registry  # noqa: E402
+from orderloom.sources import reader  # noqa: E402
 from orderloom.sources.bindings import bind  # noqa: E402
 from orderloom.sources.shop import Shop  # noqa: E402
 
@@ -122,6 +125,45 @@ def _entity(name: str) -> Query:
     return _on_shop(lambda shop: contracts.conform(registry.run(name, shop), contracts.ENTITIES[name]))
 
 
+def _orders_contract(shop: Shop) -> DataFrame:
+    orders = contracts.conform_orders(order_documents(shop).documents)
+    sizes = [F.size(a).cast("bigint").alias(a) for a in contracts.ORDER_ARRAYS]
+    return orders.select(*contracts.ORDER_FIELDS, *sizes)
+
+
+def _page_envelope(shop: Shop) -> DataFrame:
+    page = serving.orders_page(_keyed_orders(shop), 2, PAGE_SIZE, "delivered")
+    row = (page.total, page.page, page.size, page.total_pages)
+    return shop.orders.sparkSession.createDataFrame(
+        [row], "total bigint, page bigint, size bigint, total_pages bigint"
+    )
+
+
+def _through_csv(table: DataFrame, name: str, **options) -> DataFrame:
+    """The table written as CSV to the shared folder and read back."""
+    spark = table.sparkSession
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    reader.write_csv(reader.typed_like(table, name), folder, name)
+    return reader.read_csv(spark, folder, name, **options)
+
+
+def _texts_through_csv(**options) -> Query:
+    """All documents, whole texts with quotes and line breaks, as reviews."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        texts = spark.read.parquet(f"{folder}/documents.parquet").selectExpr(
+            "doc_id as review_id",
+            "doc_id as order_id",
+            "doc_id % 5 + 1 as review_score",
+            "lang as review_comment_title",
+            "text as review_comment_message",
+        )
+        kept = ["review_id", "review_score", "review_comment_title", "review_comment_message"]
+        return _through_csv(texts, "order_reviews", **options).select(kept)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     """One entry per operator; each takes the session and a folder of Parquet tables."""
     marts = {name: _on_shop(_mart(name)) for name in contracts.MARTS}
@@ -152,6 +194,10 @@ def queries() -> dict[str, Query]:
         "orders_page_offset": _page_offset,
         "orders_page_deep": _page_deep,
         "orders_page_keyset": _page_keyset,
+        "orders_page_envelope": _page_envelope,
+        "orders_contract": _orders_contract,
+        "orders_from_csv": lambda s: _through_csv(s.orders, "orders"),
+        "items_from_csv": lambda s: _through_csv(s.order_items, "order_items"),
         "order_by_id": lambda s: serving.by_key(_keyed_orders(s), ONE_ORDER),
         "orders_by_customer": _of_customer,
         "customers_violations": lambda s: contracts.entity_violations(s.customers, contracts.ENTITIES["customers"]).select(
@@ -160,7 +206,11 @@ def queries() -> dict[str, Query]:
     }
     unwound = {f"order_{array}_unwound": _unwound(array) for array in ("items", "payments", "reviews")}
     entities = {f"{name}_contract": _entity(name) for name in contracts.ENTITIES}
-    return marts | top_n | {name: _on_shop(build) for name, build in others.items()} | unwound | entities
+    texts = {
+        "texts_from_csv": _texts_through_csv(),
+        "texts_from_csv_split": _texts_through_csv(whole_file_bytes=0),
+    }
+    return marts | top_n | texts | {name: _on_shop(build) for name, build in others.items()} | unwound | entities
 
 
 def oracle_sql() -> dict[str, str]:

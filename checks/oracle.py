@@ -395,6 +395,37 @@ def oracle_sql(page_size: int, deep_page: int, after: int, one_order: int, one_c
     sql["orders_page_offset"] = _page("_id", "order_status = 'delivered'", page_size, 2 * page_size)
     sql["orders_page_deep"] = _page("_id", "TRUE", page_size, (deep_page - 1) * page_size)
     sql["orders_page_keyset"] = _page("_id", f"order_id > {after}", page_size)
+    sql["orders_page_envelope"] = _with(
+        f"\nSELECT count(*) AS total, CAST(2 AS BIGINT) AS page, CAST({page_size} AS BIGINT) AS size,"
+        f" greatest(CAST(ceil(count(*) / {page_size}) AS BIGINT), 1) AS total_pages"
+        " FROM v_orders WHERE order_status = 'delivered'",
+        "v_orders",
+    )
+    as_text = "CAST(order_id AS VARCHAR) AS order_id"
+    sql["orders_contract"] = _with(
+        "\nSELECT CAST(order_id AS VARCHAR) AS _id, o.* EXCLUDE (order_id)"
+        " REPLACE (CAST(customer_id AS VARCHAR) AS customer_id),"
+        " (SELECT count(*) FROM v_items x WHERE x.order_id = o.order_id) AS items,"
+        " (SELECT count(*) FROM v_payments x WHERE x.order_id = o.order_id) AS payments,"
+        " (SELECT count(*) FROM v_reviews x WHERE x.order_id = o.order_id) AS reviews FROM v_orders o",
+        "v_orders",
+        "v_items",
+        "v_payments",
+        "v_reviews",
+    )
+    sql["orders_from_csv"] = _with(
+        f"\nSELECT * REPLACE ({as_text}, CAST(customer_id AS VARCHAR) AS customer_id) FROM v_orders", "v_orders"
+    )
+    sql["items_from_csv"] = _with(
+        f"\nSELECT * REPLACE ({as_text}, CAST(product_id AS VARCHAR) AS product_id,"
+        " CAST(seller_id AS VARCHAR) AS seller_id) FROM v_items",
+        "v_items",
+    )
+    sql["texts_from_csv"] = (
+        "SELECT CAST(doc_id AS VARCHAR) AS review_id, CAST(doc_id % 5 + 1 AS BIGINT) AS review_score,"
+        " lang AS review_comment_title, text AS review_comment_message FROM documents"
+    )
+    sql["texts_from_csv_split"] = sql["texts_from_csv"]
     sql["order_by_id"] = _with(
         f"\nSELECT order_id AS _id, * EXCLUDE (order_id) FROM v_orders WHERE order_id = {one_order}", "v_orders"
     )

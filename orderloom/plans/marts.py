@@ -290,8 +290,11 @@ def geography_analytics(shop: Shop) -> DataFrame:
             *sum_totals("revenue", times="copies"),
         )
     )
+    # Distinct on a second, dependent column as well, to be shuffled once more for
+    # the join: only then can a customer id with very many rows be split.
+    ordering = shop.orders.selectExpr("customer_id", "hash(customer_id) as spread").distinct()
     buyers = (
-        people.join(shop.orders.select("customer_id").distinct(), "customer_id", "left_semi")
+        people.join(ordering, "customer_id", "left_semi")
         .select("state", "customer_unique_id")
         .distinct()
         .groupBy("state")

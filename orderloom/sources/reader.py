@@ -77,6 +77,13 @@ def read_csv(
     return spark.read.schema(schema).options(**options).csv(path)
 
 
+def write_csv(table: DataFrame, folder: str, name: str) -> None:
+    """Write a dataset as CSV part files that :func:`read_csv` reads back unchanged."""
+    file_name = _dataset(name).file_pattern.replace("*", "shop_")
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table.write.mode("overwrite").options(**options).csv(f"{folder}/{file_name}")
+
+
 def read_csv_inferred(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One dataset with types inferred by Spark, to compare with the declared ones."""
     dataset = _dataset(name)
