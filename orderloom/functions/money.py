@@ -1,15 +1,18 @@
 """Exact, order-independent sums of money held in ``double`` columns.
 
 A plain ``sum`` of doubles depends on the order in which partitions arrive, and
-a ``sum`` of decimals costs five times as much because it leaves the long fast
-path. Amounts are therefore counted in units of 1/10,000 as two ``bigint``
-limbs, which add exactly in any order and cannot overflow at any realistic row
-count. Values the limbs cannot hold (NaN, infinities, magnitudes from 1e11 on)
-are added separately as doubles, so they still reach the total the way a double
-sum would carry them.
-
-A money total named ``x`` travels between aggregations as three columns:
-``x_hi``, ``x_lo`` and ``x_rest``. Fractions below 1/10,000 are rounded.
+a ``sum`` of decimals costs five times as much because it leaves the fast path.
+Amounts are therefore counted in units of 1/10,000, split into a high part in
+multiples of 2^20 units and a low part below that. The high part is added as a
+double, which is exact for whole numbers up to 2^53 (totals up to 9e17), and the
+low part as a ``bigint``; both add exactly in any order.
+
+Amounts that have no such split (NaN, infinities, magnitudes from 4e14 on) go
+into the high part as they are, so they reach the total the way a double sum
+would carry them.
+
+A money total named ``x`` travels between aggregations as ``x_hi`` and ``x_lo``.
+Fractions below 1/10,000 are rounded.
 """
 
 from __future__ import annotations
@@ -18,14 +21,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNITS_PER_ONE = 10_000
-EXACT_BELOW = "1e11D"
+EXACT_BELOW = "4e14D"
 LIMB_BITS = 20
 LIMB = 1 << LIMB_BITS
+# What one high unit is worth.
+HIGH_VALUE = f"{LIMB / UNITS_PER_ONE}D"
+# Below this many high units the whole total is an exact double.
+FAST_HIGH = f"{1 << 32}D"
+EXACT_HIGH = f"{1 << 53}D"
 
 
-def limb_columns(name: str) -> list[str]:
+def total_columns(name: str) -> list[str]:
     """Names of the columns that carry the total ``name``."""
-    return [f"{name}_hi", f"{name}_lo", f"{name}_rest"]
+    return [f"{name}_hi", f"{name}_lo"]
 
 
 def _units(amount: str) -> str:
@@ -34,45 +42,65 @@ def _units(amount: str) -> str:
 
 
 def _rest(amount: str) -> str:
-    return f"if(abs({amount}) >= {EXACT_BELOW}, {amount}, 0D)"
+    return f"if(abs({amount}) >= {EXACT_BELOW}, {amount} / {HIGH_VALUE}, 0D)"
 
 
 def sum_amounts(name: str, *amounts: str, times: str | None = None) -> list[Column]:
-    """Aggregates adding up the SQL expressions ``amounts`` of every row; NULL counts as 0.
+    """Aggregates adding up one or two SQL expressions of every row; NULL counts as 0.
 
     ``times`` counts each row that many times.
     """
+    if len(amounts) > 2:
+        raise ValueError("more than two amounts may not fit one bigint")
     doubles = [f"cast({a} as double)" for a in amounts]
     units = " + ".join(_units(a) for a in doubles)
     rest = " + ".join(_rest(a) for a in doubles)
-    return _limb_sums(name, f"shiftright({units}, {LIMB_BITS})", f"({units}) & {LIMB - 1}L", rest, times)
+    high = f"cast(shiftright({units}, {LIMB_BITS}) as double) + {rest}"
+    return _sums(name, high, f"({units}) & {LIMB - 1}L", times)
 
 
 def sum_totals(name: str, times: str | None = None) -> list[Column]:
     """Aggregates adding up the totals ``name`` of every row; NULL totals count as 0."""
-    hi, lo, rest = limb_columns(name)
-    return _limb_sums(name, f"{hi} + shiftright({lo}, {LIMB_BITS})", f"{lo} & {LIMB - 1}L", rest, times)
+    high, low = total_columns(name)
+    carried = f"{high} + cast(shiftright({low}, {LIMB_BITS}) as double)"
+    return _sums(name, carried, f"{low} & {LIMB - 1}L", times)
 
 
-def _limb_sums(name: str, hi: str, lo: str, rest: str, times: str | None) -> list[Column]:
+def _sums(name: str, high: str, low: str, times: str | None) -> list[Column]:
     counted = "" if times is None else f" * {times}"
-    return [F.expr(f"sum(({part}){counted}) as {column}") for part, column in zip((hi, lo, rest), limb_columns(name))]
+    return [F.expr(f"sum(({part}){counted}) as {column}") for part, column in zip((high, low), total_columns(name))]
 
 
-def total_decimal(*names: str, times: str | None = None) -> str:
-    """SQL for the exact part of the sum of the totals ``names``, with four decimals."""
+def _added(position: int, names: tuple[str, ...]) -> str:
+    zero = ("0D", "0L")[position]
+    return "(" + " + ".join(f"coalesce({total_columns(n)[position]}, {zero})" for n in names) + ")"
+
+
+def is_exact(*names: str) -> str:
+    """SQL: the totals hold whole units only, so that :func:`total_decimal` may be taken."""
+    high = _added(0, names)
+    return f"(abs({high}) < {EXACT_HIGH} and {high} = rint({high}))"
 
-    def limb(position: int) -> str:
-        return " + ".join(f"coalesce(cast({limb_columns(n)[position]} as decimal(20,0)), 0)" for n in names)
 
-    units = f"cast(({limb(0)}) * {LIMB} + {limb(1)} as decimal(26,0))"
+def total_decimal(*names: str, times: str | None = None) -> str:
+    """SQL for the exact sum of the totals ``names``, with four decimals."""
+    high, low = (f"cast(cast({_added(i, names)} as bigint) as decimal(20,0))" for i in (0, 1))
+    units = f"cast({high} * {LIMB} + {low} as decimal(26,0))"
     if times is not None:
         units = f"{units} * cast({times} as decimal(12,0))"
     return f"cast({units} * 0.0001BD as decimal(38,4))"
 
 
 def total(*names: str, times: str | None = None) -> str:
-    """SQL for the sum of the totals ``names`` as a double; 0.0 when there was nothing to add."""
-    rest = " + ".join(f"coalesce({limb_columns(n)[2]}, 0D)" for n in names)
+    """SQL for the sum of the totals ``names`` as a double; 0.0 when there was nothing to add.
+
+    Nearly all totals are whole units below 2^53, whose quotient is the nearest
+    double without a detour over decimals.
+    """
+    high, low = _added(0, names), _added(1, names)
     counted = "" if times is None else f" * {times}"
-    return f"(cast({total_decimal(*names, times=times)} as double) + ({rest}){counted})"
+    small = f"abs({high}{counted}) < {FAST_HIGH} and abs({low}{counted}) < {1 << 52}L and {high} = rint({high})"
+    fast = f"(cast({high} as bigint) * {LIMB}L + {low}){counted} / {UNITS_PER_ONE}D"
+    exact = f"cast({total_decimal(*names, times=times)} as double)"
+    inexact = f"({high} * {HIGH_VALUE} + {low} / {UNITS_PER_ONE}D){counted}"
+    return f"(case when {small} then {fast} when {is_exact(*names)} then {exact} else {inexact} end)"

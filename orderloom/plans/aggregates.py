@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.functions.money import sum_amounts, sum_totals, total, total_decimal
+from orderloom.functions.money import is_exact, sum_amounts, sum_totals, total, total_decimal
 from orderloom.operators.facts import exprs
 
 COUNTS = ("count(1) as payments", "count(payment_value) as amounts")
@@ -49,7 +49,7 @@ def _by_type(combined: DataFrame) -> DataFrame:
         .selectExpr(
             "payment_type",
             "payment_count",
-            f"cast(bround({total_decimal('amount')}, 2) as double) + amount_rest as total_amount",
+            f"if({is_exact('amount')}, cast(bround({total_decimal('amount')}, 2) as double), amount) as total_amount",
             "bround(try_divide(amount, amounts), 2) as average_amount",
         )
     )

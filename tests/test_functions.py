@@ -42,12 +42,24 @@ def test_sums_carry_what_limbs_cannot_hold(spark):
     assert math.isnan(summed(spark, [1.0, float("nan")]))
     assert summed(spark, [1.0, float("inf")]) == float("inf")
     assert math.isnan(summed(spark, [float("inf"), float("-inf")]))
-    assert summed(spark, [1e300, 1.0]) == 1e300
+    assert summed(spark, [1e300, 1.0]) == pytest.approx(1e300)
+    assert summed(spark, [5e14, 0.25, -5e14]) == pytest.approx(0.25, abs=0.1)
 
 
 def test_sums_beyond_one_long_do_not_overflow(spark):
     # 200,000 rows just below 1e11 are 2e16: in units of 1/10,000 more than a bigint holds.
-    assert summed(spark, [99_999_999_999.0], times=200_000) == 99_999_999_999.0 * 200_000
+    assert summed(spark, [99_999_999_999.01], times=200_000) == 99_999_999_999.01 * 200_000
+
+
+def test_large_totals_are_the_nearest_double(spark):
+    values = [12_345_678_901.2345, 98_765_432_109.8765] * 20
+    exact = sum(Decimal(str(v)) for v in values)
+    assert summed(spark, values, times=50) == float(exact * 50)
+
+
+def test_more_than_two_amounts_are_refused():
+    with pytest.raises(ValueError):
+        sum_amounts("x", "a", "b", "c")
 
 
 def test_sum_counts_rows_several_times(spark):
