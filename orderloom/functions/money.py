@@ -1,7 +1,7 @@
 """Exact, order-independent sums of money held in ``double`` columns.
 
 A plain ``sum`` of doubles depends on the order in which partitions arrive, and
-a ``sum`` of decimals costs five times as much because it leaves the fast path.
+a ``sum`` of decimals takes more than three times as long.
 Amounts are therefore counted in units of 1/10,000, split into a high part in
 multiples of 2^20 units and a low part below that. The high part is added as a
 double, which is exact for whole numbers up to 2^53 (totals up to 9e17), and the
