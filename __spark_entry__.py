@@ -22,6 +22,11 @@ from orderloom.sources import reader  # noqa: E402
 from orderloom.sources.bindings import bind  # noqa: E402
 from orderloom.sources.shop import Shop  # noqa: E402
 
+try:
+    from orderloom.llm import queries as corpus
+except ImportError:  # the subpackage may be left out
+    corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Arguments of the bounded reads.
@@ -210,9 +215,10 @@ def queries() -> dict[str, Query]:
         "texts_from_csv": _texts_through_csv(),
         "texts_from_csv_split": _texts_through_csv(whole_file_bytes=0),
     }
-    return marts | top_n | texts | {name: _on_shop(build) for name, build in others.items()} | unwound | entities
+    on_corpus = corpus.QUERIES if corpus else {}
+    return marts | top_n | texts | {name: _on_shop(build) for name, build in others.items()} | unwound | entities | on_corpus
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query."""
-    return oracle.oracle_sql(PAGE_SIZE, DEEP_PAGE, AFTER, ONE_ORDER, ONE_CUSTOMER)
+    return oracle.oracle_sql(PAGE_SIZE, DEEP_PAGE, AFTER, ONE_ORDER, ONE_CUSTOMER) | (corpus.ORACLE if corpus else {})
