@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, sharding, topk
+from orderloom.llm import bpe, html, secrets, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(_table(spark, folder, "pages"))
+
+
 def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(_table(spark, folder, "documents"), SHARDS)
     return placed.select(
@@ -32,6 +36,16 @@ def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(_table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [
+        F.size(F.filter("base_spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
+        for kind, name in enumerate(secrets.BASE)
+    ]
+    base = F.sha2(secrets.written("base_spans"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, secrets.written("spans").alias("spans"))
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,7 +60,9 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html": op1_html,
     "op3_shards": op3_shards,
+    "op5_secrets": op5_secrets,
     "op7_bpe": op7_bpe,
     "op10_topk": op10_topk,
 }
