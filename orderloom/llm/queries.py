@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, html, secrets, sharding, topk
+from orderloom.llm import bpe, html, packing, secrets, sharding, topk
+from orderloom.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 SHARDS = 16
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -29,6 +32,10 @@ def op1_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(_table(spark, folder, "pages"))
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.pieces(_table(spark, folder, "documents"), _vocabulary(TOKENIZER)))
+
+
 def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(_table(spark, folder, "documents"), SHARDS)
     return placed.select(
@@ -61,6 +68,7 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_html": op1_html,
+    "op2_packing": op2_packing,
     "op3_shards": op3_shards,
     "op5_secrets": op5_secrets,
     "op7_bpe": op7_bpe,
