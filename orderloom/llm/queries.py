@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, html, packing, secrets, sharding, topk
+from orderloom.llm import bpe, html, packing, quality, secrets, sharding, topk
 from orderloom.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,13 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, base, secrets.written("spans").alias("spans"))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(documents, _table(spark, folder, "labels"))
+    scored = quality.score(documents, model)
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_shards": op3_shards,
     "op5_secrets": op5_secrets,
+    "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op10_topk": op10_topk,
 }
