@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 LARGEST_GRAM = 4
+# Longest n-gram of marks "the same word as the one before"; each has a slot of its own.
+LARGEST_REPEAT = 6
+# A text with fewer slots is scaled like one with so many, so that little text is weak evidence.
+LEAST_SIZE = 256
 # Rows that the linear model is fitted on, and turned into probabilities with, at most.
 SAMPLE_ROWS = 8_000
 CALIBRATION_SHARE = 0.25
@@ -29,6 +34,11 @@ PASSES = 12
 THRESHOLD = 0.3
 
 
+def size(slots: np.ndarray) -> float:
+    """What a document's slots are divided by."""
+    return float(np.sqrt(max(LEAST_SIZE, len(slots))))
+
+
 class Grams:
     """Slots of a text's n-grams; keeps one array of marks."""
 
@@ -43,6 +53,12 @@ class Grams:
                 break
             gram = gram[: len(data) - n + 1] * np.uint32(263) + data[n - 1 :] + np.uint32(n)
             self.marks[(gram * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)] = True
+        words = text.split()
+        same = bytes(map(eq, words, words[1:]))
+        for n in range(1, LARGEST_REPEAT + 1):
+            if b"\1" * n not in same:
+                break
+            self.marks[n] = True
         found = np.flatnonzero(self.marks)
         self.marks[found] = False
         return found.astype(np.int32)
@@ -58,7 +74,7 @@ class Model:
     shift: float
 
     def margin(self, slots: np.ndarray) -> float:
-        return float(self.weights[slots].sum() / np.sqrt(max(1, len(slots)))) + self.bias
+        return float(self.weights[slots].sum()) / size(slots) + self.bias
 
     def score(self, slots: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(slots) + self.shift, -30, 30))))
@@ -182,12 +198,11 @@ def descend(
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of least hinge loss; each step solves for one row's dual variable.
 
-    Rows are scaled to unit size by their number of slots; both classes weigh the same.
+    Rows are divided by ``size``; both classes weigh the same.
     """
     weights, bias = np.zeros(SLOTS), 0.0
     dual = np.zeros(len(data))
-    scale = [1 / np.sqrt(max(1, len(slots))) for slots in data]
-    values = [ratios[slots] * s for slots, s in zip(data, scale)]
+    values = [ratios[slots] / size(slots) for slots in data]
     sizes = [float(v @ v) + 1.0 for v in values]
     positive = max(1, int((truth[train] > 0).sum()))
     limit = {1: PENALTY * len(train) / (2 * positive), -1: PENALTY * len(train) / (2 * max(1, len(train) - positive))}
