@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, html, packing, quality, secrets, sharding, topk
+import corpus_pipeline
+from orderloom.llm import bpe, html, neardup, packing, quality, secrets, sharding, topk
 from orderloom.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +67,10 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(_table(spark, folder, "documents"), _vocabulary(RANKS), public_tokenizers.PATTERN)
 
 
+def op8_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.classes(_table(spark, folder, "documents")).select("doc_id", "class_id", "keep")
+
+
 def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), topk.whole_numbers("embedding", 256).alias("vector")
@@ -80,7 +85,9 @@ QUERIES: dict[str, Query] = {
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op8_neardup": op8_neardup,
     "op10_topk": op10_topk,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}
