@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderloom.llm import bpe, html, neardup, packing, quality, secrets, sharding, topk
+from orderloom.llm import bpe, fingerprints, html, neardup, packing, quality, secrets, sharding, topk
 from orderloom.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op8_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(_table(spark, folder, "documents")).select("doc_id", "class_id", "keep")
 
 
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, folder, "documents"))
+
+
 def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), topk.whole_numbers("embedding", 256).alias("vector")
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op8_neardup": op8_neardup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_topk": op10_topk,
     "pipeline": corpus_pipeline.run,
 }
