@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderloom.llm import bpe, fingerprints, html, neardup, packing, quality, secrets, sharding, topk
+from orderloom.llm import bpe, counting, fingerprints, html, neardup, packing, quality, secrets, sharding, topk
 from orderloom.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,13 @@ def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    documents = _table(spark, folder, "documents").select("doc_id", "text", counting.drawn_edits().alias("edits"))
+    return counting.recount(documents, _vocabulary(RANKS), public_tokenizers.PATTERN)
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(_table(spark, folder, "documents").select("doc_id", "text"))
     counts = [
@@ -86,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op1_html": op1_html,
     "op2_packing": op2_packing,
     "op3_shards": op3_shards,
+    "op4_counts": op4_counts,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
