@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderloom.llm import bpe, counting, fingerprints, html, neardup, packing, quality, secrets, sharding, topk
+from orderloom.llm import bpe, counting, fingerprints, html, neardup, oracle, packing, quality, secrets, sharding, topk
 from orderloom.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,10 +53,7 @@ def op4_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(_table(spark, folder, "documents").select("doc_id", "text"))
-    counts = [
-        F.size(F.filter("base_spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
-        for kind, name in enumerate(secrets.BASE)
-    ]
+    counts = [secrets.count_of("base_spans", name).alias(f"n_{name}") for name in secrets.BASE]
     base = F.sha2(secrets.written("base_spans"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, secrets.written("spans").alias("spans"))
 
@@ -103,4 +100,4 @@ QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.oracle_sql(SHARDS)

@@ -176,6 +176,11 @@ def scan(
     return found.withColumn(all_as, F.array_sort(F.concat(base_as, outside)))
 
 
+def count_of(spans_column: str, kind: str) -> Column:
+    """Number of spans of a kind."""
+    return F.size(F.filter(spans_column, lambda s: s["kind"] == KINDS.index(kind))).cast("bigint")
+
+
 def written(spans_column: str) -> Column:
     """Spans as text: kind:start:end, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])
