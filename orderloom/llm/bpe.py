@@ -35,7 +35,7 @@ CHUNK = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{
 RARE_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
 
 # Bounds of the tables that a Python worker keeps.
-CHUNKS_KEPT = 600_000
+CHUNKS_KEPT = 1_000_000
 PIECES_KEPT = 300_000
 PAIRS_KEPT = 1_000_000
 
@@ -124,48 +124,39 @@ class Piece:
 class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
-    ``encode`` gives the ids of one chunk; a chunk is encoded by itself, so the
-    result is that of the whole text.
+    ``encode`` gives the ids of each of some chunks; a chunk is encoded by itself,
+    so the result is that of the whole text.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self.encode = encode
         self.words: dict[str, bytes] = {}  # by the word, without the one space before it
         self.others: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
         if "  " in text or " \n" in text or "\n " in text or RARE_SPACE.search(text):
-            return b"".join([self._other(chunk) for chunk in CHUNK.findall(text)])
+            chunks = CHUNK.findall(text)
+            return b"".join(self._found(self.others, chunks, chunks, CHUNKS_KEPT // 10))
         # Only single spaces between words: each starts a chunk. Line breaks may
         # stand inside a chunk, where they have a word on either side.
         first, *words = text.split(" ")
-        found = list(map(self.words.get, words))
-        if None in found:
-            for i, known in enumerate(found):
-                if known is None:
-                    found[i] = self._word(words[i])
-        return (self._other(first) if first else b"") + b"".join(found)
+        start = self._found(self.others, [first], [first], CHUNKS_KEPT // 10) if first else []
+        return b"".join(start + self._found(self.words, words, None, CHUNKS_KEPT))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), "<u4")
 
-    def _word(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            known = np.array(self.encode(" " + word), "<u4").tobytes()
-            if len(self.words) < CHUNKS_KEPT:
-                self.words[word] = known
-        return known
-
-    def _other(self, chunk: str) -> bytes:
-        if chunk[:1] == " " and len(chunk) > 1 and chunk[1:2].strip():
-            return self._word(chunk[1:])
-        known = self.others.get(chunk)
-        if known is None:
-            known = np.array(self.encode(chunk), "<u4").tobytes()
-            if len(self.others) < CHUNKS_KEPT // 10:
-                self.others[chunk] = known
-        return known
+    def _found(self, known: dict[str, bytes], keys: list[str], chunks: list[str] | None, most: int) -> list[bytes]:
+        """Packed ids by key; those not known yet are encoded (a space and the key, or the chunk) and kept while there is room."""
+        found = list(map(known.get, keys))
+        if None in found:
+            new = dict.fromkeys([key for key, ids in zip(keys, found) if ids is None])
+            ids = self.encode([" " + key for key in new] if chunks is None else list(new))
+            new = {key: np.array(one, "<u4").tobytes() for key, one in zip(new, ids)}
+            if len(known) < most:
+                known.update(new)
+            found = [new[key] if ids is None else ids for key, ids in zip(keys, found)]
+        return found
 
 
 def splitter(pattern: str) -> regex.Pattern:
@@ -193,7 +184,7 @@ def text_encoder(path: str, pattern: str) -> TextEncoder:
                 pieces[part] = found
         return found
 
-    return TextEncoder(lambda chunk: list(chain.from_iterable(map(piece, split.findall(chunk)))))
+    return TextEncoder(lambda chunks: [list(chain.from_iterable(map(piece, split.findall(chunk)))) for chunk in chunks])
 
 
 def encoded(documents: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -50,7 +50,7 @@ def tokenizer_encoder(path: str) -> TextEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return TextEncoder(lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids)
+    return TextEncoder(lambda chunks: [found.ids for found in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
 
 
 def cut(ids: bytes, length: int) -> list[tuple[int, int]]:
