@@ -9,9 +9,9 @@ multisets. Bands of registers give candidates, whose overlap is then counted
 exactly.
 
 Equal texts are one from the start. In a bucket of texts that share a band each
-text meets representatives, not all others; texts already joined by other links
-are not compared again, and further representatives are taken until no bucket has
-two texts of different classes that have not met.
+text meets hubs, not all others. Of the pairs left in different classes, those
+that their overlaps with a hub cannot rule out are compared too, so that every
+two texts that share a band are accounted for.
 """
 
 from __future__ import annotations
@@ -21,10 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orderloom.operators.staging import settle
+from orderloom.llm.landing import land
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -132,12 +131,20 @@ def bands(text: str | None) -> tuple[np.ndarray, int]:
     return keys.view(np.int64), len(runs)
 
 
-def similarity(left: str, right: str) -> float:
-    """Weighted Jaccard similarity of the shingles of two texts."""
+def overlap(left: str, right: str) -> tuple[int, int, int, np.ndarray]:
+    """Shared shingles of two texts, the number of each text's, and the left ones that the right has not (as often)."""
     (a, m), (b, n) = (np.unique(shingles(t), return_counts=True) for t in (left, right))
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(m[i], n[j]).sum())
-    return shared / max(1, int(m.sum() + n.sum()) - shared)
+    both = np.minimum(m[i], n[j])
+    rest = m.copy()
+    rest[i] -= both
+    return int(both.sum()), int(m.sum()), int(n.sum()), np.repeat(a, rest)
+
+
+def similarity(left: str, right: str) -> float:
+    """Weighted Jaccard similarity of the shingles of two texts."""
+    shared, m, n, _ = overlap(left, right)
+    return shared / max(1, m + n - shared)
 
 
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -152,7 +159,7 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", least
     text of fewer than five words is one shingle. An empty table gives no rows.
     """
     rows = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    signed = settle(
+    signed = land(
         rows.select("k", F.unhex(F.md5(F.col("t").cast("binary"))).alias("d"), "t").mapInArrow(
             _signed, f"k {rows.schema['k'].dataType.simpleString()}, d binary, n bigint, bands array<bigint>"
         )
@@ -198,72 +205,118 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Class ``c`` of each text ``d`` that has a link; members are rows (bucket, d, n)."""
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    crowd = settle(members.join(shared, "bucket"))  # only buckets of several texts
-    # First each text meets the representative with which it shares most bands.
-    first = crowd.groupBy("bucket").agg(F.min(F.struct("d", "n")).alias("head"))
-    met = _candidates(crowd, first, least).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    best = settle(met.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).select("a", "b"))
-    links = settle(_verified(best, texts, least))
-    labels, checked, taken, step = _components(links), best, 0, 1
-    while True:
-        # Buckets that still hold texts of several classes.
-        placed = crowd.join(labels.withColumnRenamed("d", "d_"), F.col("d") == F.col("d_"), "left").withColumn("c", F.coalesce("c", "d"))
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size"))
-        mixed = mixed.where(f"low <> high and size > {taken}").select("bucket")
-        open_ = settle(placed.select("bucket", "d", "n", "c").join(mixed, "bucket"))
-        place = F.row_number().over(W.partitionBy("bucket").orderBy("d"))
-        heads = open_.withColumn("place", place).where(F.col("place") <= taken + step).where(F.col("place") > taken)
-        pairs = _candidates(open_, heads.select("bucket", F.struct("d", "n", "c").alias("head")), least, "c").distinct()
-        fresh = settle(pairs.join(checked, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            if open_.isEmpty():
-                return labels
-        else:
-            more = settle(_verified(fresh, texts, least))
-            checked = settle(checked.unionByName(fresh))
-            if not more.isEmpty():
-                links = settle(links.unionByName(more))
-                labels = _components(links)
-        taken, step = taken + step, step * 4
-
-
-def _candidates(crowd: DataFrame, heads: DataFrame, least: float, other: str | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of a text and a representative of its bucket whose sizes allow the similarity."""
-    fits = F.least("n", "head.n") >= F.greatest("n", "head.n") * least
-    pairs = crowd.join(heads, "bucket").where((F.col("d") != F.col("head.d")) & fits)
-    if other:
-        pairs = pairs.where(F.col(other) != F.col(f"head.{other}"))
-    return pairs.select(F.greatest("d", "head.d").alias("a"), F.least("d", "head.d").alias("b"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs whose exact similarity suffices."""
-    wanted = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()
-    bodies = settle(texts.join(wanted, "d", "left_semi").groupBy("d").agg(F.max("t").alias("t")))
-    left = bodies.select(F.col("d").alias("a"), F.col("t").alias("left"))
-    right = bodies.select(F.col("d").alias("b"), F.col("t").alias("right"))
+    """Class ``c`` of each text ``d`` that has a link; members are rows (bucket, d, n).
+
+    Every two texts of a bucket end in one class, or are compared, or are ruled out
+    by a bound. The bound uses hubs, the texts in the most and largest buckets: what
+    u and l share is at most what the lesser of them shares with a hub, and what
+    they share outside of it.
+    """
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowd = land(members.join(sizes, "bucket"))  # only buckets of several texts
+    weights = crowd.groupBy("d").agg(F.sum("size").alias("weight"))
+    weighed = crowd.join(weights, "d")
+    heads = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "d")).alias("head"))
+    # A text's hub is the head it shares most bands with.
+    met = crowd.join(heads, "bucket").groupBy("d", "head").agg(F.count(F.lit(1)).alias("shared"))
+    hubs = land(met.groupBy("d").agg(F.max(F.struct("shared", "head")).alias("best")).select("d", F.col("best.head.d").alias("h")))
+    compared = land(_compared(hubs.where("d <> h"), texts))
+    labels = _components(_links(compared, least))
+
+    # In buckets that still hold several classes every text meets the hubs of all.
+    open_ = land(_undecided(_placed(crowd.select("bucket", "d", "n"), labels).join(hubs, "d")))
+    wanted = open_.select("bucket", "d").join(open_.select("bucket", "h").distinct(), "bucket").select("d", "h").distinct()
+    more = wanted.where("d <> h").join(compared.select("d", "h"), ["d", "h"], "left_anti")
+    compared = land(compared.unionByName(_compared(more, texts)))
+    labels = _components(_links(compared, least))
+
+    still = land(_undecided(open_.select("bucket", "d", "n", "h").join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))))
+    pairs = land(_possible(still, compared, least))
+    last = land(_compared(pairs, texts))
+    return _components(_links(compared.unionByName(last), least))
+
+
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))
+
+
+def _undecided(placed: DataFrame) -> DataFrame:
+    """The rows of buckets with texts of several classes."""
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    return placed.join(mixed.select("bucket"), "bucket")
+
+
+def _links(compared: DataFrame, least: float) -> DataFrame:
+    return compared.where(F.col("o") >= least * (F.col("nd") + F.col("nh") - F.col("o")) - 1e-9).select(
+        F.col("d").alias("a"), F.col("h").alias("b")
+    )
+
+
+def _possible(still: DataFrame, compared: DataFrame, least: float) -> DataFrame:
+    """Pairs (d, h) of texts of one bucket and different classes that no bound rules out."""
+    hubs = still.select(F.col("h").alias("d")).distinct()
+    itself = still.select("d", "n").join(hubs, "d", "left_semi").distinct()
+    known = compared.select("d", "h", "o", "nd", "out").unionByName(
+        itself.select("d", F.col("d").alias("h"), F.col("n").alias("o"), F.col("n").alias("nd"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    )
+    facts = land(known.join(still.select("d", "c").distinct(), "d"))
+    left = facts.select(F.col("d").alias("u"), "h", F.col("o").alias("uo"), F.col("nd").alias("un"), F.col("c").alias("uc"), F.col("out").alias("ux"))
+    own = still.select(F.col("d").alias("l"), "h").distinct()
+    right = facts.select(F.col("d").alias("l"), "h", F.col("o").alias("lo"), F.col("nd").alias("ln"), F.col("c").alias("lc"), F.col("out").alias("lx")).join(
+        own, ["l", "h"]
+    )
+    shared = F.least("uo", "lo")
+
+    def enough(overlap):
+        return overlap >= least * (F.col("un") + F.col("ln") - overlap) - 1e-9
+
+    apart = (F.col("u") != F.col("l")) & (F.col("uc") != F.col("lc"))
+    # Nothing in common outside the hub: the bound alone, among the texts of a bucket.
+    places = still.select("bucket", "d")
+    by_bucket = left.drop("ux").join(places.withColumnRenamed("d", "u"), "u").join(
+        right.drop("lx").join(places.withColumnRenamed("d", "l"), "l"), ["bucket", "h"]
+    )
+    close = by_bucket.where(apart & enough(shared)).select("u", "l")
+    # Something in common outside the hub: texts that meet in such a shingle.
+    outside = left.withColumn("x", F.explode("ux")).drop("ux").join(right.withColumn("x", F.explode("lx")).drop("lx"), ["h", "x"])
+    counted = outside.where(apart).groupBy("u", "l", "h", "uo", "lo", "un", "ln").agg(F.count(F.lit(1)).alias("more"))
+    met = counted.where(enough(shared + F.col("more"))).select("u", "l")
+    pairs = close.union(met).select(F.greatest("u", "l").alias("d"), F.least("u", "l").alias("h")).distinct()
+    return pairs.join(compared.select("d", "h"), ["d", "h"], "left_anti").join(
+        compared.select(F.col("d").alias("h"), F.col("h").alias("d")), ["d", "h"], "left_anti"
+    )
+
+
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (d, h) with their overlap ``o``, sizes ``nd`` and ``nh``, and the shingles of d that h has not (``out``)."""
+    pairs = land(pairs)
+    wanted = pairs.select("d").union(pairs.select(F.col("h").alias("d"))).distinct()
+    bodies = land(texts.join(wanted, "d", "left_semi").groupBy("d").agg(F.max("t").alias("t")))
+    left = bodies.select("d", F.col("t").alias("left"))
+    right = bodies.select(F.col("d").alias("h"), F.col("t").alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                near = [similarity(a, b) >= least - 1e-12 for a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+                found = [overlap(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                numbers = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
+                out = pa.array([f[3].view(np.int64) for f in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, out], ["d", "h", "o", "nd", "nh", "out"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+    both = pairs.join(left, "d").join(right, "h").select("d", "h", "left", "right")
+    return both.mapInArrow(run, "d binary, h binary, o bigint, nd bigint, nh bigint, out array<bigint>")
 
 
 def _components(links: DataFrame) -> DataFrame:
     """The smallest text ``c`` that links connect each text ``d`` with."""
-    edges = settle(links.select(F.col("a").alias("d"), F.col("b").alias("o")).union(links.select("b", "a")).distinct())
-    labels = settle(edges.groupBy("d").agg(F.least(F.min("o"), F.first("d")).alias("c")))
+    edges = land(links.select(F.col("a").alias("d"), F.col("b").alias("o")).union(links.select("b", "a")).distinct())
+    labels = land(edges.groupBy("d").agg(F.least(F.min("o"), F.first("d")).alias("c")))
     while True:
         known = labels.select(F.col("d").alias("o"), F.col("c").alias("oc"))
         around = edges.join(known, "o").groupBy("d").agg(F.min("oc").alias("nc"))
         nearer = labels.join(around, "d").select("d", F.col("c").alias("was"), F.least("c", "nc").alias("o"))
         # Two steps at once: the label of the label.
-        jumped = settle(nearer.join(known, "o").select("d", "was", F.least("o", "oc").alias("c")))
+        jumped = land(nearer.join(known, "o").select("d", "was", F.least("o", "oc").alias("c")))
         labels = jumped.select("d", "c")
         if jumped.where("was <> c").isEmpty():
             return labels
