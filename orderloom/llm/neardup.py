@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderloom.llm.landing import land
@@ -138,7 +139,8 @@ def overlap(left: str, right: str) -> tuple[int, int, int, np.ndarray]:
     both = np.minimum(m[i], n[j])
     rest = m.copy()
     rest[i] -= both
-    return int(both.sum()), int(m.sum()), int(n.sum()), np.repeat(a, rest)
+    which = np.arange(rest.sum()) - np.repeat(np.cumsum(rest) - rest, rest)  # numbers repeated ones, so that all differ
+    return int(both.sum()), int(m.sum()), int(n.sum()), _mixed(np.repeat(a, rest) + which.astype(np.uint64) * np.uint64(ODD))
 
 
 def similarity(left: str, right: str) -> float:
@@ -257,34 +259,50 @@ def _possible(still: DataFrame, compared: DataFrame, least: float) -> DataFrame:
     hubs = still.select(F.col("h").alias("d")).distinct()
     itself = still.select("d", "n").join(hubs, "d", "left_semi").distinct()
     known = compared.select("d", "h", "o", "nd", "out").unionByName(
-        itself.select("d", F.col("d").alias("h"), F.col("n").alias("o"), F.col("n").alias("nd"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        itself.select(
+            "d", F.col("d").alias("h"), F.col("n").alias("o"), F.col("n").alias("nd"), F.expr("cast(array() as array<bigint>)").alias("out")
+        )
     )
     facts = land(known.join(still.select("d", "c").distinct(), "d"))
-    left = facts.select(F.col("d").alias("u"), "h", F.col("o").alias("uo"), F.col("nd").alias("un"), F.col("c").alias("uc"), F.col("out").alias("ux"))
-    own = still.select(F.col("d").alias("l"), "h").distinct()
-    right = facts.select(F.col("d").alias("l"), "h", F.col("o").alias("lo"), F.col("nd").alias("ln"), F.col("c").alias("lc"), F.col("out").alias("lx")).join(
-        own, ["l", "h"]
-    )
-    shared = F.least("uo", "lo")
+    own = still.select("d", "h").distinct()
+
+    def side(table: DataFrame, name: str) -> DataFrame:
+        return table.select(*[F.col(c).alias(c if c in ("h", "x", "bucket") else name + c) for c in table.columns])
 
     def enough(overlap):
-        return overlap >= least * (F.col("un") + F.col("ln") - overlap) - 1e-9
+        return overlap >= least * (F.col("und") + F.col("lnd") - overlap) - 1e-9
 
-    apart = (F.col("u") != F.col("l")) & (F.col("uc") != F.col("lc"))
+    apart = (F.col("ud") != F.col("ld")) & (F.col("uc") != F.col("lc"))
     # Nothing in common outside the hub: the bound alone, among the texts of a bucket.
+    narrow = facts.drop("out")
     places = still.select("bucket", "d")
-    by_bucket = left.drop("ux").join(places.withColumnRenamed("d", "u"), "u").join(
-        right.drop("lx").join(places.withColumnRenamed("d", "l"), "l"), ["bucket", "h"]
-    )
-    close = by_bucket.where(apart & enough(shared)).select("u", "l")
-    # Something in common outside the hub: texts that meet in such a shingle.
-    outside = left.withColumn("x", F.explode("ux")).drop("ux").join(right.withColumn("x", F.explode("lx")).drop("lx"), ["h", "x"])
-    counted = outside.where(apart).groupBy("u", "l", "h", "uo", "lo", "un", "ln").agg(F.count(F.lit(1)).alias("more"))
-    met = counted.where(enough(shared + F.col("more"))).select("u", "l")
-    pairs = close.union(met).select(F.greatest("u", "l").alias("d"), F.least("u", "l").alias("h")).distinct()
-    return pairs.join(compared.select("d", "h"), ["d", "h"], "left_anti").join(
-        compared.select(F.col("d").alias("h"), F.col("h").alias("d")), ["d", "h"], "left_anti"
+    by_bucket = side(narrow.join(places, "d"), "u").join(side(narrow.join(own, ["d", "h"]).join(places, "d"), "l"), ["bucket", "h"])
+    close = by_bucket.where(apart & enough(F.least("uo", "lo"))).select("ud", "ld")
+    # Something in common outside the hub: texts that meet in one of their rarest such shingles.
+    rarest = land(_rarest(facts, least))
+    met = side(rarest, "u").join(side(rarest.join(own, ["d", "h"]), "l"), ["h", "x"])
+    sizes_fit = F.least("und", "lnd") >= F.greatest("und", "lnd") * least
+    pairs = close.union(met.where(apart & sizes_fit).select("ud", "ld")).select(
+        F.greatest("ud", "ld").alias("d"), F.least("ud", "ld").alias("h")
     )
+    done = compared.select(F.greatest("d", "h").alias("d"), F.least("d", "h").alias("h"))
+    return pairs.distinct().join(done.distinct(), ["d", "h"], "left_anti")
+
+
+def _rarest(facts: DataFrame, least: float) -> DataFrame:
+    """Shingles ``x`` of d outside of h of which a text that is alike must share one.
+
+    A like text shares at least ``least`` of d's shingles. Those that h has too are
+    ``o`` at most, so so many of the others must be shared that, in any order common
+    to all, one of the first ones is. The order is by how many texts have them.
+    """
+    each = facts.select("d", "h", "nd", "c", F.size("out").alias("n"), F.greatest(F.lit(1), F.ceil(F.col("nd") * least - 1e-9) - F.col("o")).alias("need"), F.explode("out").alias("x"))
+    common = each.groupBy("h", "x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = each.join(common, ["h", "x"])
+    of_text = W.partitionBy("d", "h")
+    alone = F.col("n") - F.count(F.lit(1)).over(of_text)  # the rarest: no other text has them
+    place = alone + F.row_number().over(of_text.orderBy("f", "x"))
+    return shared.withColumn("place", place).where("place <= n - need + 1").select("d", "h", "nd", "c", "x")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
