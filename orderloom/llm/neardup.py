@@ -326,15 +326,22 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _components(links: DataFrame) -> DataFrame:
-    """The smallest text ``c`` that links connect each text ``d`` with."""
-    edges = land(links.select(F.col("a").alias("d"), F.col("b").alias("o")).union(links.select("b", "a")).distinct())
-    labels = land(edges.groupBy("d").agg(F.least(F.min("o"), F.first("d")).alias("c")))
+    """The smallest text ``c`` that links connect each text ``d`` with.
+
+    Labels spread along links, and every third time a text also takes the label of
+    its label, so that long chains shorten.
+    """
+    both = links.select(F.col("a").alias("d"), F.col("b").alias("o")).union(links.select("b", "a"))
+    edges = land(both.union(both.select("d", "d")).distinct())
+    labels, turn = edges.groupBy("d").agg(F.min("o").alias("c")), 1
     while True:
-        known = labels.select(F.col("d").alias("o"), F.col("c").alias("oc"))
-        around = edges.join(known, "o").groupBy("d").agg(F.min("oc").alias("nc"))
-        nearer = labels.join(around, "d").select("d", F.col("c").alias("was"), F.least("c", "nc").alias("o"))
-        # Two steps at once: the label of the label.
-        jumped = land(nearer.join(known, "o").select("d", "was", F.least("o", "oc").alias("c")))
-        labels = jumped.select("d", "c")
-        if jumped.where("was <> c").isEmpty():
+        known = land(labels).select(F.col("d").alias("o"), F.col("c").alias("oc"))
+        own = F.max(F.when(F.col("o") == F.col("d"), F.col("oc")))
+        spread = land(edges.join(known, "o").groupBy("d").agg(F.min("oc").alias("c"), own.alias("was")))
+        labels = spread.select("d", "c")
+        if spread.where("was <> c").isEmpty():
             return labels
+        if turn % 3 == 0:
+            heads = labels.select(F.col("d").alias("c"), F.col("c").alias("cc"))
+            labels = labels.join(heads, "c").select("d", F.least("c", "cc").alias("c"))
+        turn += 1
