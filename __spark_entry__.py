@@ -144,15 +144,15 @@ def _page_envelope(shop: Shop) -> DataFrame:
     )
 
 
-def _through_csv(table: DataFrame, name: str, **options) -> DataFrame:
-    """The table written as CSV to the shared folder and read back."""
+def _through_csv(table: DataFrame, name: str) -> DataFrame:
+    """The table written as CSV part files to the shared folder and read back."""
     spark = table.sparkSession
     folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     reader.write_csv(reader.typed_like(table, name), folder, name)
-    return reader.read_csv(spark, folder, name, **options)
+    return reader.read_csv(spark, folder, name)
 
 
-def _texts_through_csv(**options) -> Query:
+def _texts_through_csv(files: int) -> Query:
     """All documents, whole texts with quotes and line breaks, as reviews."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +164,7 @@ def _texts_through_csv(**options) -> Query:
             "text as review_comment_message",
         )
         kept = ["review_id", "review_score", "review_comment_title", "review_comment_message"]
-        return _through_csv(texts, "order_reviews", **options).select(kept)
+        return _through_csv(texts.repartition(files), "order_reviews").select(kept)
 
     return run
 
@@ -212,8 +212,8 @@ def queries() -> dict[str, Query]:
     unwound = {f"order_{array}_unwound": _unwound(array) for array in ("items", "payments", "reviews")}
     entities = {f"{name}_contract": _entity(name) for name in contracts.ENTITIES}
     texts = {
-        "texts_from_csv": _texts_through_csv(),
-        "texts_from_csv_split": _texts_through_csv(whole_file_bytes=0),
+        "texts_from_csv": _texts_through_csv(1),
+        "texts_from_csv_split": _texts_through_csv(16),
     }
     on_corpus = corpus.QUERIES if corpus else {}
     return marts | top_n | texts | {name: _on_shop(build) for name, build in others.items()} | unwound | entities | on_corpus

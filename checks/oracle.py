@@ -12,11 +12,11 @@ VIEWS = {
                lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS customer_zip_code_prefix,
                c_mktsegment AS customer_city,
                CASE WHEN c_nationkey = 0 THEN NULL ELSE n_name END AS customer_state
-        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+        FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "v_sellers": """
         SELECT s_suppkey AS seller_id, lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS seller_zip_code_prefix,
                s_name AS seller_city, n_name AS seller_state
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+        FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""",
     "v_products": """
         SELECT p_partkey AS product_id,
                CASE WHEN p_type = 'PROMO' THEN NULL ELSE lower(p_type) END AS product_category_name,
@@ -30,7 +30,7 @@ VIEWS = {
         SELECT * FROM (VALUES ('economy','budget'), ('large','big'), ('large','very_big'), ('medium','mid'),
                               ('small','small')) AS t(product_category_name, product_category_name_english)""",
     "v_orders": """
-        SELECT o_orderkey AS order_id, o_custkey AS customer_id,
+        SELECT o_orderkey AS order_id, CASE WHEN o_custkey % 10 = 0 THEN -o_custkey ELSE o_custkey END AS customer_id,
                CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' ELSE 'canceled' END AS order_status,
                o_orderdate + INTERVAL 23 HOUR AS order_purchase_timestamp,
                CASE WHEN o_orderkey % 100 = 0 THEN NULL ELSE o_orderdate + INTERVAL 24 HOUR END AS order_approved_at,
@@ -38,19 +38,19 @@ VIEWS = {
                CASE WHEN o_orderstatus = 'F' THEN max_ship END AS order_delivered_customer_date,
                o_orderdate + INTERVAL 30 DAY AS order_estimated_delivery_date
         FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS min_ship, max(l_shipdate) AS max_ship
-                               FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey
-        WHERE o_custkey % 10 <> 0""",
+                               FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey""",
     "v_items": """
-        SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS order_item_id, l_partkey AS product_id,
-               l_suppkey AS seller_id, l_shipdate AS shipping_limit_date, l_extendedprice AS price,
+        SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS order_item_id,
+               CASE WHEN l_partkey % 50 = 0 THEN l_partkey + 1 ELSE l_partkey END AS product_id,
+               CASE WHEN l_suppkey % 25 = 0 THEN l_suppkey - 1 ELSE l_suppkey END AS seller_id, l_shipdate AS shipping_limit_date, l_extendedprice AS price,
                CASE WHEN l_tax = 0 THEN NULL
                     ELSE CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2)) AS DOUBLE)
                END AS freight_value
-        FROM lineitem WHERE l_partkey % 50 <> 0 AND l_suppkey % 25 <> 0""",
+        FROM lineitem""",
     "v_payments": """
-        SELECT o_orderkey AS order_id, CAST(1 AS BIGINT) AS payment_sequential, lower(o_orderpriority) AS payment_type,
+        SELECT CASE WHEN o_orderkey % 7 = 0 THEN -o_orderkey ELSE o_orderkey END AS order_id, CAST(1 AS BIGINT) AS payment_sequential, lower(o_orderpriority) AS payment_type,
                1 + o_orderkey % 10 AS payment_installments, o_totalprice AS payment_value
-        FROM orders WHERE o_orderkey % 7 <> 0
+        FROM orders
         UNION ALL
         SELECT o_orderkey, 2, 'voucher', CAST(1 AS BIGINT), CAST(10.5 AS DOUBLE)
         FROM orders WHERE o_orderkey % 5 = 0""",

@@ -1,26 +1,20 @@
 """Nested order documents: an order with its items, payments and reviews as arrays.
 
-An order may have any number of children, but an array must stay small. Orders
-with more than ``limit`` children of a kind are found by a narrow count first;
-their children are spread by hash over parts of about half that size. Part 0
-stays in the document, the other parts are rows of ``overflow``. Nothing is
-dropped, and no such group is collected whole into one task.
+Every child of an order is in its array, however many there are: an order is one
+row, and one that no row can hold fails loudly instead of losing children. To read
+children by themselves, use their tables, which are not nested.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.moments import zoneless
-from orderloom.operators.staging import broadcast_if_small, settle
 from orderloom.sources.shop import Shop
 
-NEST_LIMIT = 20_000
-
 # How the elements of each array are ordered.
 ELEMENT_ORDER = {
     "items": ["order_item_id"],
@@ -39,15 +33,13 @@ ORDER_TIMES = [
 
 @dataclass(frozen=True)
 class OrderDocuments:
-    """``documents``: one row per order. ``overflow``: further parts ``(_id, part, arrays)``."""
+    """``documents``: one row per order, with all its children."""
 
     documents: DataFrame
-    overflow: DataFrame
 
     def unwind(self, array: str) -> DataFrame:
         """One row per element of ``array``; orders without elements vanish."""
-        parts = self.documents.select("_id", array).unionByName(self.overflow.select("_id", array))
-        return unwind(parts, array)
+        return unwind(self.documents, array)
 
 
 def unwind(documents: DataFrame, array: str) -> DataFrame:
@@ -78,38 +70,14 @@ def _children(shop: Shop) -> dict[str, DataFrame]:
     }
 
 
-def _large_groups(children: dict[str, DataFrame], limit: int) -> DataFrame:
-    """``(array, order_id, parts)`` of the groups beyond ``limit``."""
-    tagged = [
-        child.where("order_id is not null").selectExpr(f"'{array}' as array", "order_id")
-        for array, child in children.items()
-    ]
-    return (
-        reduce(DataFrame.union, tagged)
-        .groupBy("array", "order_id")
-        .agg(F.expr("count(1) as children"))
-        .where(f"children > {limit}")
-        .selectExpr("array", "order_id", f"ceil(children * 2 / {limit}) as parts")
-    )
-
-
-def _nest(child: DataFrame, array: str, *keys: str) -> DataFrame:
-    """Arrays of the child's other columns, in a fixed order."""
-    fields = [c for c in child.columns if c not in keys]
+def _nest(child: DataFrame, array: str) -> DataFrame:
+    """Per order, an array of the child's other columns in a fixed order."""
+    fields = [c for c in child.columns if c != "order_id"]
     first = ELEMENT_ORDER[array]
     sortable = ", ".join(first + [c for c in fields if c not in first])
     element = ", ".join(f"'{c}', e.`{c}`" for c in fields)
     ordered = f"array_sort(collect_list(struct({sortable})))"
-    return child.groupBy(*keys).agg(F.expr(f"transform({ordered}, e -> named_struct({element})) as {array}"))
-
-
-def _nest_parts(child: DataFrame, array: str, large: DataFrame, rows: int) -> DataFrame:
-    """``(order_id, part, array)`` of the large groups of one child table."""
-    groups = broadcast_if_small(large.where(F.col("array") == array).drop("array"), rows)
-    # Settled before the numbering, so that a task run again numbers its rows alike.
-    members = settle(child.join(groups, "order_id"))
-    number = F.xxhash64(F.monotonically_increasing_id())
-    return _nest(members.withColumn("part", F.pmod(number, "parts")).drop("parts"), array, "order_id", "part")
+    return child.groupBy("order_id").agg(F.expr(f"transform({ordered}, e -> named_struct({element})) as {array}"))
 
 
 def by_customer_newest_first(key: str) -> list[Column]:
@@ -121,45 +89,20 @@ def by_customer_newest_first(key: str) -> list[Column]:
     ]
 
 
-def order_documents(shop: Shop, limit: int = NEST_LIMIT, files: int | None = None) -> OrderDocuments:
+def order_documents(shop: Shop, files: int | None = None) -> OrderDocuments:
     """Assemble the order documents. Order ids should be unique in the orders table.
 
     With ``files``, documents carry the number of the ``file`` they belong to
     when the table is cut into that many ranges of customer, time and key. The
     ranges are cut on the narrow orders, before the arrays are joined.
     """
-    children = _children(shop)
-    large = _large_groups(children, limit)
-    rows = large.count()
-    if rows:
-        large = settle(large)
-
     documents = typed_orders(shop.orders)
     if files is not None:
         ranges = documents.repartitionByRange(files, *by_customer_newest_first("order_id"))
         documents = ranges.withColumn("file", F.spark_partition_id())
-    overflow = None
-    for array, child in children.items():
-        child = child.where("order_id is not null")
-        if rows == 0:
-            nested = _nest(child, array, "order_id")
-        else:
-            groups = broadcast_if_small(large.where(F.col("array") == array).select("order_id"), rows)
-            regular = _nest(child.join(groups, "order_id", "left_anti"), array, "order_id")
-            parts = settle(_nest_parts(child, array, large, rows))
-            nested = regular.unionByName(parts.where("part = 0").drop("part"))
-            further = parts.where("part > 0")
-            overflow = further if overflow is None else overflow.join(further, ["order_id", "part"], "full")
+    for array, child in _children(shop).items():
+        nested = _nest(child.where("order_id is not null"), array)
         documents = documents.join(nested, "order_id", "left")
-    documents = _complete(documents)
-    if overflow is None:
-        overflow = documents.where("false").selectExpr("_id", "0L as part", *ELEMENT_ORDER)
-    else:
-        overflow = _complete(overflow.join(shop.orders.select("order_id"), "order_id", "left_semi"))
-    return OrderDocuments(documents, overflow.select("_id", "part", *ELEMENT_ORDER))
-
-
-def _complete(nested: DataFrame) -> DataFrame:
-    """Empty arrays where an order has no children of a kind; the key is named ``_id``."""
+    # Empty arrays where an order has no children of a kind.
     arrays = {array: F.coalesce(array, F.array()) for array in ELEMENT_ORDER}
-    return nested.withColumns(arrays).withColumnRenamed("order_id", "_id")
+    return OrderDocuments(documents.withColumns(arrays).withColumnRenamed("order_id", "_id"))

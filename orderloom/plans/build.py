@@ -18,12 +18,16 @@ from orderloom.sources.shop import Shop
 
 BUSINESS_KEYS = {"customers": "customer_id", "sellers": "seller_id", "products": "product_id"}
 ORDERS = "orders"
-OVERFLOW = "orders_overflow"
 TABLES = (*BUSINESS_KEYS, ORDERS, *MARTS)
+# Names in the folder of builds.
+MANIFEST = "current"
+VERSION = "build-"
+# The load of products repeats one with several translations, so its key may repeat.
+UNIQUE = tuple(name for name in TABLES if name != "products")
 
 
 class DuplicateKeyError(ValueError):
-    """Order documents need unique order ids."""
+    """A key that must be unique repeats."""
 
 
 def write_table(table: DataFrame, path: str) -> int:
@@ -44,57 +48,101 @@ def write_documents(shop: Shop, folder: str, files: int | None = None) -> int:
     built = order_documents(shop, files=files)
     documents = built.documents.repartitionById(files, "file")
     documents = documents.sortWithinPartitions(*by_customer_newest_first("_id")).drop("file")
-    written = write_table(documents, f"{folder}/{ORDERS}")
-    write_table(built.overflow, f"{folder}/{OVERFLOW}")
-    return written
+    return write_table(documents, f"{folder}/{ORDERS}")
 
 
 def read_documents(spark: SparkSession, folder: str) -> OrderDocuments:
-    return OrderDocuments(spark.read.parquet(f"{folder}/{ORDERS}"), spark.read.parquet(f"{folder}/{OVERFLOW}"))
+    return OrderDocuments(read_table(spark, folder, ORDERS))
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the build that ``folder`` has published."""
     if name not in TABLES:
         raise KeyError(f"unknown table: {name}")
-    return spark.read.parquet(f"{folder}/{name}")
+    version = published(spark, folder)
+    if version is None:
+        raise FileNotFoundError(f"no complete build in {folder}")
+    return spark.read.parquet(f"{folder}/{version}/{name}")
 
 
-def with_written_totals(shop: Shop) -> Shop:
-    """Order totals written once to the shared folder; three marts read them from there.
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def published(spark: SparkSession, folder: str) -> str | None:
+    """Name of the build that the folder's manifest points to."""
+    path, files = _path(spark, f"{folder}/{MANIFEST}")
+    return spark.read.text(path.toString()).first()["value"] if files.exists(path) else None
+
+
+def publish(spark: SparkSession, folder: str, version: str) -> None:
+    """Point the manifest to a build, in one step; of the builds before, the last one stays for its readers."""
+    before = published(spark, folder)
+    draft, files = _path(spark, f"{folder}/{MANIFEST}-{version}")
+    out = files.create(draft, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    how = getattr(hadoop, "Options$Rename")
+    overwrite = spark._sc._gateway.new_array(how, 1)
+    overwrite[0] = how.OVERWRITE
+    context = hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(draft, _path(spark, f"{folder}/{MANIFEST}")[0], overwrite)
+    for status in files.listStatus(_path(spark, folder)[0]):
+        if status.getPath().getName().startswith(VERSION) and status.getPath().getName() not in (version, before):
+            files.delete(status.getPath(), True)
+
+
+def with_written_totals(shop: Shop, path: str) -> Shop:
+    """Order totals written once to ``path``; three marts read them from there.
 
     As a table they reach each join straight from a shuffle, which lets adaptive
     execution split an order id that holds a large share of the orders.
     """
-    spark = shop.orders.sparkSession
-    path = f"{shared_folder(spark)}/order-totals-{uuid.uuid4().hex}"
     order_totals(shop.order_items).write.parquet(path)
-    return shop.with_order_totals(spark.read.parquet(path))
+    return shop.with_order_totals(shop.orders.sparkSession.read.parquet(path))
 
 
 def build_all(shop: Shop, folder: str) -> dict[str, int]:
-    """Write all ten tables to ``folder`` and return their row counts. Errors are raised."""
-    repeated = extra_rows(shop.orders.where("order_id is not null"), ["order_id"]).first()["duplicates"]
+    """Write all ten tables and publish them together; returns their row counts.
+
+    The tables go to a folder of their own, and readers follow the manifest, so a
+    build that fails leaves the one before in place. A key that repeats raises.
+    """
+    spark = shop.orders.sparkSession
+    repeated = extra_rows(shop.orders, ["order_id"]).first()["duplicates"]
     if repeated:
         raise DuplicateKeyError(f"{repeated} rows repeat an order id")
+    version = f"{VERSION}{uuid.uuid4().hex}"
+    target, scratch = f"{folder}/{version}", f"{shared_folder(spark)}/order-totals-{uuid.uuid4().hex}"
     counts = {}
-    for name, key in BUSINESS_KEYS.items():
-        counts[name] = write_table(clean_dates(keyed(registry.run(name, shop), key)), f"{folder}/{name}")
-    counts[ORDERS] = write_documents(shop, folder)
-    staged = with_written_totals(shop)
-    for name, contract in MARTS.items():
-        mart = keyed(registry.run(name, staged), contract.key)
-        counts[name] = write_table(clean_dates(mart), f"{folder}/{name}")
+    try:
+        for name, key in BUSINESS_KEYS.items():
+            counts[name] = write_table(clean_dates(keyed(registry.run(name, shop), key)), f"{target}/{name}")
+        counts[ORDERS] = write_documents(shop, target)
+        staged = with_written_totals(shop, scratch)
+        for name, contract in MARTS.items():
+            mart = keyed(registry.run(name, staged), contract.key)
+            counts[name] = write_table(clean_dates(mart), f"{target}/{name}")
+        for name in UNIQUE:
+            repeated = extra_rows(spark.read.parquet(f"{target}/{name}"), ["_id"]).first()["duplicates"]
+            if repeated:
+                raise DuplicateKeyError(f"{repeated} rows of {name} repeat a key")
+        publish(spark, folder, version)
+    except BaseException:
+        path, files = _path(spark, target)
+        files.delete(path, True)
+        raise
+    finally:
+        path, files = _path(spark, scratch)
+        files.delete(path, True)
     return counts
 
 
 def is_built(spark: SparkSession, folder: str) -> bool:
-    """All ten tables were written to the end, and there are orders."""
-
-    def complete(name: str) -> bool:
-        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
-        return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
-
-    return all(complete(name) for name in (*TABLES, OVERFLOW)) and not read_table(spark, folder, ORDERS).isEmpty()
+    """A build was published, and it has orders."""
+    return published(spark, folder) is not None and not read_table(spark, folder, ORDERS).isEmpty()
 
 
 def build_once(shop: Shop, folder: str) -> dict[str, int] | None:

@@ -7,34 +7,17 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.sources import catalog
 from orderloom.sources.catalog import DATASETS, Dataset
-from orderloom.sources.multiline import read_quoted_lines
 from orderloom.sources.shop import Shop
 
 CSV_DIALECT = {"header": True, "escape": '"', "mode": "FAILFAST", "enforceSchema": False}
 
-# Spark reads a multi-line CSV file in one task. Larger files take the splitting reader.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
-
-
 def _glob(spark: SparkSession, pattern: str) -> list:
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     filesystem = path.getFileSystem(spark._jsc.hadoopConfiguration())
     return list(filesystem.globStatus(path) or [])
 
 
-def _largest_file(spark: SparkSession, statuses: Iterable) -> int:
-    largest = 0
-    for status in statuses:
-        if status.isDirectory():
-            children = _glob(spark, status.getPath().toString() + "/*")
-            largest = max(largest, _largest_file(spark, children))
-        else:
-            largest = max(largest, status.getLen())
-    return largest
-
-
 def _dataset(name: str) -> Dataset:
     if name not in DATASETS:
         raise KeyError(f"unknown dataset: {name}")
@@ -58,21 +41,23 @@ def read_csv(
     folder: str,
     name: str,
     as_text: bool = False,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
     """One dataset with its declared types; a value that does not fit is an error.
 
     ``as_text`` keeps every column as text, so that profiling can look at values
-    that do not fit.
+    that do not fit. Reviews hold line breaks in quotes, so Spark reads each of their
+    files in one task: deliver large ones as a folder of part files, and land them
+    as Parquet once. Two matches of the dataset's pattern are an error, since an old
+    and a new file would double the rows.
     """
     dataset = _dataset(name)
     path = f"{folder}/{dataset.file_pattern}"
     files = _glob(spark, path)
     if not files:
         raise FileNotFoundError(f"no file {dataset.file_pattern} in {folder}")
+    if len(files) > 1:
+        raise ValueError(f"several match {dataset.file_pattern}: " + ", ".join(str(f.getPath().getName()) for f in files))
     schema = dataset.text_schema if as_text else dataset.schema
-    if dataset.multiline and _largest_file(spark, files) > whole_file_bytes:
-        return read_quoted_lines(spark, path, schema)
     options = CSV_DIALECT | {"multiLine": dataset.multiline}
     return spark.read.schema(schema).options(**options).csv(path)
 
@@ -129,11 +114,6 @@ def column_types(shop: Shop) -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, position int, column string, type string")
 
 
-def with_columns_as_keys(table: DataFrame, name: str) -> DataFrame:
-    """The table with its first key column renamed to ``_id``."""
-    return table.withColumnRenamed(catalog.KEYS[name][0], "_id")
-
-
 def typed_like(table: DataFrame, name: str) -> DataFrame:
     """All catalog columns of a dataset, cast to their types; absent columns become NULL."""
     schema = _dataset(name).schema

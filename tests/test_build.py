@@ -59,12 +59,38 @@ def test_a_complete_build_is_not_repeated(spark, shop, built):
 
 def test_a_half_finished_build_is_repeated(spark, shop, tmp_path):
     folder = str(tmp_path / "half")
-    build.write_table(shop.orders, f"{folder}/orders")
+    build.write_table(shop.orders, f"{folder}/build-left/orders")
     assert not build.is_built(spark, folder)
     assert ol.build_once(shop, folder)["orders"] == shop.orders.count()
     assert build.is_built(spark, folder)
 
 
+def test_a_failing_rebuild_leaves_the_build_before(spark, shop, tmp_path):
+    folder = str(tmp_path)
+    before = ol.build_all(shop, folder)
+    version = build.published(spark, folder)
+    twice = shop.customers.unionByName(shop.customers)
+    changed = ol.Shop(**(shop.tables() | {"sellers": shop.sellers.limit(3), "customers": twice}))
+    with pytest.raises(build.DuplicateKeyError):
+        ol.build_all(changed, folder)
+    assert build.published(spark, folder) == version
+    assert build.read_table(spark, folder, "sellers").count() == before["sellers"]
+    assert sorted(os.listdir(folder)) == sorted([version, build.MANIFEST] + [f for f in os.listdir(folder) if f.startswith(".")])
+    assert not [f for f in os.listdir(staging.shared_folder(spark)) if f.startswith("order-totals-")]
+
+
+def test_a_rebuild_replaces_all_tables_at_once(spark, shop, tmp_path):
+    folder = str(tmp_path)
+    ol.build_all(shop, folder)
+    first = build.published(spark, folder)
+    fewer = ol.Shop(**(shop.tables() | {"sellers": shop.sellers.limit(3)}))
+    for _ in range(2):
+        assert ol.build_all(fewer, folder)["sellers"] == 3
+    assert build.read_table(spark, folder, "sellers").count() == 3
+    kept = [f for f in os.listdir(folder) if f.startswith(build.VERSION)]
+    assert len(kept) == 2 and build.published(spark, folder) in kept and first not in kept
+
+
 def test_writing_replaces_a_table_even_by_nothing(spark, shop, tmp_path):
     path = str(tmp_path / "t")
     assert build.write_table(shop.sellers, path) == shop.sellers.count()

@@ -1,10 +1,11 @@
-"""Nested order documents, also when an order has more children than an array may hold."""
+"""Nested order documents; every child of an order is in its document."""
 
 import pytest
 from pyspark.sql import functions as F
 
 import dirty
 from orderloom.operators.documents import order_documents, typed_reviews
+from orderloom.sources.shop import Shop
 from orderloom.plans.aggregates import orders_by_status, payments_by_type, unwound_payments_by_type
 
 
@@ -27,10 +28,9 @@ def expected_children(shop, array):
     return child.join(shop.orders.select("order_id"), "order_id", "left_semi")
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 40, 3])
 @pytest.mark.parametrize("array", CHILDREN)
-def test_unwinding_gives_back_every_child_of_a_known_order(shop, array, limit):
-    actual = order_documents(shop, limit).unwind(array)
+def test_unwinding_gives_back_every_child_of_a_known_order(shop, array):
+    actual = order_documents(shop).unwind(array)
     expected = expected_children(shop, array).select(*actual.columns)
     assert actual.exceptAll(expected).count() == expected.exceptAll(actual).count() == 0
 
@@ -38,21 +38,21 @@ def test_unwinding_gives_back_every_child_of_a_known_order(shop, array, limit):
 def test_one_document_per_order_with_empty_arrays(shop):
     built = order_documents(shop)
     assert built.documents.count() == shop.orders.count()
-    assert built.overflow.isEmpty()
     assert built.documents.where("items is null or payments is null or reviews is null").isEmpty()
     assert not built.documents.where("size(payments) = 0").isEmpty()
     assert built.documents.columns[:3] == ["_id", "customer_id", "order_status"]
     assert "order_id" not in built.documents.select(F.explode("items").alias("e")).select("e.*").columns
 
 
-def test_overflow_parts_stay_small(shop):
-    built = order_documents(shop, 40)
-    assert built.documents.count() == shop.orders.count()
-    largest = shop.order_items.groupBy("order_id").count().where("order_id is not null").agg(F.max("count")).first()[0]
-    assert largest > 80
-    parts = built.documents.select("items").union(built.overflow.select("items"))
-    assert parts.agg(F.max(F.size("items"))).first()[0] <= 40
-    assert built.overflow.select("_id", "part").distinct().count() == built.overflow.count()
+def test_a_large_order_keeps_all_children(spark, shop):
+    one = shop.orders.where("order_id is not null").first()["order_id"]
+    many = spark.range(30_000).selectExpr(
+        f"'{one}' as order_id", "id as order_item_id", "'p' as product_id", "'s' as seller_id",
+        "timestamp_ntz'2024-01-01 00:00:00' as shipping_limit_date", "1D as price", "cast(null as double) as freight_value",
+    )
+    tables = shop.tables() | {"order_items": many.select(shop.order_items.columns)}
+    document = order_documents(Shop(**tables)).documents.where(F.col("_id") == one).first()
+    assert [e["order_item_id"] for e in document["items"]] == list(range(30_000))
 
 
 def test_elements_are_in_order(shop):
@@ -69,7 +69,7 @@ def test_orders_without_payments_vanish_when_unwound(shop):
 
 def test_payments_by_type_from_tables_and_from_documents(shop):
     from_tables = payments_by_type(shop.order_payments, shop.orders).collect()
-    from_documents = unwound_payments_by_type(order_documents(shop, 10).unwind("payments")).collect()
+    from_documents = unwound_payments_by_type(order_documents(shop).unwind("payments")).collect()
     assert from_tables == from_documents
     assert [r["payment_type"] for r in from_tables].count(None) == 1
 
