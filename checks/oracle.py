@@ -1,7 +1,8 @@
 """SQL for the registered queries, to be run by DuckDB on the raw tables.
 
 Sums of money are taken over decimals and returned as doubles. The role views
-are those of ``FIXTURES.md``.
+are those of ``FIXTURES.md``. Key, relation and rule lists are fixed values: they
+must equal the library's.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ VIEWS = {
         FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS min_ship, max(l_shipdate) AS max_ship
                                FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey""",
     "v_items": """
-        SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS order_item_id,
-               CASE WHEN l_partkey % 50 = 0 THEN l_partkey + 1 ELSE l_partkey END AS product_id,
+        SELECT CASE WHEN l_orderkey % 13 = 0 THEN -l_orderkey ELSE l_orderkey END AS order_id, CAST(l_linenumber AS BIGINT) AS order_item_id,
+               CASE WHEN l_partkey % 50 = 0 THEN -l_partkey ELSE l_partkey END AS product_id,
                CASE WHEN l_suppkey % 25 = 0 THEN l_suppkey - 1 ELSE l_suppkey END AS seller_id, l_shipdate AS shipping_limit_date, l_extendedprice AS price,
                CASE WHEN l_tax = 0 THEN NULL
                     ELSE CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2)) AS DOUBLE)

@@ -98,9 +98,9 @@ def items(lineitem: DataFrame) -> DataFrame:
     # Whole cents and whole percents are exact in doubles, and so is their product.
     freight = "rint(l_extendedprice * 100) * rint(l_tax * 100) / 10000"
     return lineitem.selectExpr(
-        "l_orderkey as order_id",
+        "if(l_orderkey % 13 = 0, -l_orderkey, l_orderkey) as order_id",
         "cast(l_linenumber as bigint) as order_item_id",
-        "if(l_partkey % 50 = 0, l_partkey + 1, l_partkey) as product_id",
+        "if(l_partkey % 50 = 0, -l_partkey, l_partkey) as product_id",
         "if(l_suppkey % 25 = 0, l_suppkey - 1, l_suppkey) as seller_id",
         "l_shipdate as shipping_limit_date",
         "l_extendedprice as price",

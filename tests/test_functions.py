@@ -32,6 +32,12 @@ def test_sums_are_exact(spark):
     assert summed(spark, [-0.01, -0.02, None]) == -0.03
 
 
+def test_amounts_of_many_decimals_are_not_rounded(spark):
+    assert summed(spark, [0.00004], times=1_000_000) == pytest.approx(40, rel=1e-9)
+    assert summed(spark, [0.12345], times=1_000_000) == pytest.approx(123_450, rel=1e-12)
+    assert summed(spark, [0.000001, -0.000001, 2.5]) == 2.5
+
+
 def test_sum_of_nothing_is_zero(spark):
     assert summed(spark, [None]) == 0.0
     empty = spark.createDataFrame([], "x double")
