@@ -110,7 +110,8 @@ def page(
     rows = filtered(table, filters)
     total = rows.count()
     skip = (page - 1) * size
-    items = offset_rows(rows, key, skip, size)
+    # Beyond the last page there is nothing to look for.
+    items = offset_rows(rows, key, skip, size) if skip < total else rows.limit(0)
     return Page(items, total, page, size, ceil(total / size) if total else 1)
 
 
