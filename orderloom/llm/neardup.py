@@ -331,8 +331,8 @@ def _components(links: DataFrame) -> DataFrame:
     Labels spread along links, and every third time a text also takes the label of
     its label, so that long chains shorten.
     """
-    both = links.select(F.col("a").alias("d"), F.col("b").alias("o")).union(links.select("b", "a"))
-    edges = land(both.union(both.select("d", "d")).distinct())
+    steps = [F.struct(F.col(i).alias("d"), F.col(j).alias("o")) for i, j in ("ab", "ba", "aa", "bb")]
+    edges = land(links.select(F.explode(F.array(*steps)).alias("e")).select("e.d", "e.o").distinct())
     labels, turn = edges.groupBy("d").agg(F.min("o").alias("c")), 1
     while True:
         known = land(labels).select(F.col("d").alias("o"), F.col("c").alias("oc"))
