@@ -104,7 +104,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     )
     rows = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     counts = (
-        rows.join(marks, "k")
+        rows.join(marks.hint("merge"), "k")  # labels grow with the documents: no plan that suits few of them only
         .select("t", "y")
         .mapInArrow(_counted, "slot int, ones bigint, zeros bigint")
         .groupBy("slot")
