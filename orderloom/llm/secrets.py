@@ -5,7 +5,8 @@ adds spans of two more kinds: a candidate is a long run of key characters with a
 digit; a window slides over it, and the Shannon entropy of its characters is kept
 by counts that change by one character in and one out. The span reaches from the
 first window above the limit of the candidate's character class to the last.
-Strings on the allow list, and those inside a fixed form, add nothing.
+Strings that the allow list describes from end to end, and those inside a fixed
+form, add nothing.
 
 Only DataFrame functions and no shuffle: every text is read where it lies.
 Entropy is compared in whole numbers, so the result has no rounding.
@@ -30,13 +31,27 @@ WINDOW = 20
 # Least entropy in bits per character that a window of each class must have.
 LIMITS = {"entropy_hex": 3.0, "entropy_mixed": 3.8}
 HEX_CLASS = "^[0-9a-fA-F]+$"
-# Harmless strings of high entropy: numbers, identifiers of records, paths, words joined by dashes, stand-ins.
+
+
+def _sequence(symbols: str, least: int) -> str:
+    """Pattern of the first ``least`` symbols, and of as many more as follow in their order."""
+    return symbols[:least] + "".join(f"(?:{c}" for c in symbols[least:]) + ")?" * (len(symbols) - least)
+
+
+UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+# A word (written small, Capital, CAPITAL or joinedWords) with a short number, or a number with a short ending.
+PART = "(?:(?:[A-Z]?[a-z]{1,19}(?:[A-Z][a-z]{2,})*|[A-Z]{1,19})?[0-9]{0,4}|[0-9]+[a-z]{0,2})"
+STAND_IN = (
+    "example|sample|placeholder|dummy|changeme|test|your|my|api|access|key|secret|token|password|here|[/_+=-]|"
+    + "|".join([_sequence("abcdefghijklmnopqrstuvwxyz", 4), _sequence("0123456789", 5), _sequence("1234567890", 4)])
+)
+# Harmless strings of high entropy: numbers, identifiers of records, words and numbers joined as in paths and names, stand-ins.
+# Each pattern describes a whole string: a key beside something harmless is not allowed by it.
 ALLOWED = (
     "^[0-9=_-]+$",
-    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "/.*/.*/",
-    "^([A-Za-z]{2,}[_-])+[A-Za-z]*[0-9]{1,4}$",
-    "(?i)example|sample|placeholder|dummy|changeme|abcdefgh|12345678",
+    f"^{UUID}$",
+    f"^(?:(?:{UUID}|{PART})[/_-]){{0,50}}(?:{UUID}|{PART})$",
+    f"(?i)^(?:{STAND_IN}){{1,50}}[0-9]{{0,4}}=*$",
 )
 KINDS = [*BASE, *LIMITS]
 
@@ -112,10 +127,13 @@ def _entropy_spans(body: Column, allowed: tuple[str, ...]) -> Column:
         is_hex = match["found"].rlike(HEX_CLASS)
         limit = F.when(is_hex, F.lit(most_weight(LIMITS["entropy_hex"]))).otherwise(F.lit(most_weight(LIMITS["entropy_mixed"])))
         kind = F.when(is_hex, F.lit(KINDS.index("entropy_hex"))).otherwise(F.lit(KINDS.index("entropy_mixed")))
-        reach = _reach(match["found"], limit)
-        return F.struct(
-            (match["start"] + reach["first"]).alias("start"), kind.alias("kind"), (match["start"] + reach["last"]).alias("end")
-        )
+
+        def placed(reach: Column) -> Column:
+            return F.struct(
+                (match["start"] + reach["first"]).alias("start"), kind.alias("kind"), (match["start"] + reach["last"]).alias("end")
+            )
+
+        return F.element_at(F.transform(F.array(_reach(match["found"], limit)), placed), 1)
 
     candidates = F.filter(_matches(body, CANDIDATE), lambda m: ~harmless(m["found"]))
     found = F.filter(F.transform(candidates, span), lambda s: s["start"].isNotNull())
@@ -131,9 +149,9 @@ def _reach(string: Column, limit: Column) -> Column:
     symbols = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(SYMBOLS), c))
     weights = F.array(*[F.lit(weight(n)).cast("bigint") for n in range(WINDOW + 2)])
 
-    def events(i: Column) -> Column:
-        enters = F.struct(F.element_at(symbols, i).alias("symbol"), F.lit(1).alias("change"), i.alias("end"))
-        leaves = F.struct(F.element_at(symbols, i - WINDOW).alias("symbol"), F.lit(-1).alias("change"), i.alias("end"))
+    def events(known: Column, i: Column) -> Column:
+        enters = F.struct(F.element_at(known, i).alias("symbol"), F.lit(1).alias("change"), i.alias("end"))
+        leaves = F.struct(F.element_at(known, i - WINDOW).alias("symbol"), F.lit(-1).alias("change"), i.alias("end"))
         return F.when(i > WINDOW, F.array(leaves, enters)).otherwise(F.array(enters))
 
     start = F.struct(
@@ -156,7 +174,9 @@ def _reach(string: Column, limit: Column) -> Column:
         )
 
     places = F.sequence(F.lit(1), F.length(string))
-    return F.aggregate(F.flatten(F.transform(places, events)), start, step)
+    # A transform over one element works the symbols out once, not once a place.
+    every = F.flatten(F.element_at(F.transform(F.array(symbols), lambda known: F.transform(places, lambda i: events(known, i))), 1))
+    return F.aggregate(every, start, step)
 
 
 def scan(

@@ -110,3 +110,43 @@ def test_long_text_and_empty_table(spark, documents):
 def test_no_python_in_the_plan(documents):
     plan = secrets.scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def planted_keys():
+    chance = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, more="": "".join(chance.choices(letters + more, k=n - 1)) + "7"
+    made = []
+    for _ in range(5):
+        made += [("https://hooks.slack.com/services/T02AB4CD8/B09ZZ7YX2/", key(24)), ("https://host.io/api/v1/", key(40))]
+        made += [("redis://cache/", key(32)), ("/srv/data/live/", key(40)), ("example-", key(40)), ("sample/12345678/", key(40))]
+        made += [("see ", key(n, "+/")) for n in (40, 64, 86, 128, 256, 512)]
+    return made
+
+
+def test_keys_behind_paths_and_words_and_with_slashes_are_found(spark):
+    """Every window of the key itself that has the entropy lies in a span; nothing here reads the allow list."""
+    rows = [(i, before + key + " end", len(before), key) for i, (before, key) in enumerate(planted_keys())]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")).collect()}
+    for number, text, start, key in rows:
+        hits = []
+        for at in range(len(key) - 19):
+            window = key[at : at + 20]
+            if -sum(n / 20 * math.log2(n / 20) for n in map(window.count, set(window))) >= 3.8 + 1e-7:
+                hits.append(at)
+        assert hits, key
+        assert any(s["start"] <= start + hits[0] and start + hits[-1] + 20 <= s["end"] for s in found[number]), text
+
+
+HARMLESS = [
+    "/usr/local/lib/python3/site-packages/pyarrow", "com/2024/01/02/best-pizza-places-in-rome", "release-notes-for-version-2024",
+    "/api/v1/users/550e8400-e29b-41d4-a716-446655440000", "src/main/java/OrderLoomReader2", "sampleApiKey1234567890",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "2024-01-02-03-04-05-06-07",
+]
+
+
+def test_harmless_strings_add_nothing(spark):
+    # The last are long: no pattern may recurse or run for ever.
+    texts = [*HARMLESS, "/a" * 3_000 + "1", "ABCD" * 1_500 + "1!"]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert [r["text"][:80] for r in found if r["spans"]] == []
