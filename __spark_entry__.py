@@ -37,6 +37,10 @@ AFTER = 5_000
 ONE_ORDER = 10
 ONE_CUSTOMER = 85
 
+# Text in one part file of a split table, and the least number of its files.
+FILE_BYTES = 32 * 2**20
+LEAST_FILES = 16
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Monthly metrics on the smallest test data."""
@@ -152,19 +156,29 @@ def _through_csv(table: DataFrame, name: str) -> DataFrame:
     return reader.read_csv(spark, folder, name)
 
 
-def _texts_through_csv(files: int) -> Query:
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, whole texts with quotes and line breaks, as reviews."""
+    return spark.read.parquet(f"{folder}/documents.parquet").selectExpr(
+        "doc_id as review_id",
+        "doc_id as order_id",
+        "doc_id % 5 + 1 as review_score",
+        "lang as review_comment_title",
+        "text as review_comment_message",
+    )
+
+
+def _split(texts: DataFrame) -> DataFrame:
+    """The texts dealt evenly to as many partitions as their bytes need."""
+    size = texts.agg(F.sum(F.octet_length("review_comment_message"))).first()[0] or 0
+    return texts.repartition(max(LEAST_FILES, -(-size // FILE_BYTES)))
+
+
+def _texts_through_csv(dealt: Callable[[DataFrame], DataFrame]) -> Query:
+    """The documents through CSV; one task writes, and one reads, each partition of ``dealt``."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        texts = spark.read.parquet(f"{folder}/documents.parquet").selectExpr(
-            "doc_id as review_id",
-            "doc_id as order_id",
-            "doc_id % 5 + 1 as review_score",
-            "lang as review_comment_title",
-            "text as review_comment_message",
-        )
         kept = ["review_id", "review_score", "review_comment_title", "review_comment_message"]
-        return _through_csv(texts.repartition(files), "order_reviews").select(kept)
+        return _through_csv(dealt(_texts(spark, folder)), "order_reviews").select(kept)
 
     return run
 
@@ -212,8 +226,8 @@ def queries() -> dict[str, Query]:
     unwound = {f"order_{array}_unwound": _unwound(array) for array in ("items", "payments", "reviews")}
     entities = {f"{name}_contract": _entity(name) for name in contracts.ENTITIES}
     texts = {
-        "texts_from_csv": _texts_through_csv(1),
-        "texts_from_csv_split": _texts_through_csv(16),
+        "texts_from_csv": _texts_through_csv(lambda texts: texts),
+        "texts_from_csv_split": _texts_through_csv(_split),
     }
     on_corpus = corpus.QUERIES if corpus else {}
     return marts | top_n | texts | {name: _on_shop(build) for name, build in others.items()} | unwound | entities | on_corpus

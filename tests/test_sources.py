@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registered
 import dirty
 import orderloom as ol
 from orderloom.operators.loads import clean_dates, keyed, products_enriched
@@ -224,3 +225,20 @@ def test_missing_values_as_text(spark, folder, tables):
     found = {(r["dataset"], r["column"]): r["missing"] for r in missing_values(text).collect()}
     blank = sum(1 for r in tables["order_reviews"] if r["review_comment_title"] in (None, " "))
     assert found["order_reviews", "review_comment_title"] == blank
+
+
+def _documents(spark, folder, files):
+    rows = [(i, f'text {i}, "quoted"\nand a second line ' + "x" * 100, "en") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(files).write.parquet(f"{folder}/documents.parquet")
+    return sorted((str(i), i % 5 + 1, lang, text) for i, text, lang in rows)
+
+
+@pytest.mark.parametrize(("name", "in_files", "least"), [("texts_from_csv", 1, 1), ("texts_from_csv", 6, 6), ("texts_from_csv_split", 1, 27)])
+def test_texts_go_through_as_many_files_as_the_table_needs(spark, tmp_path, monkeypatch, name, in_files, least):
+    expected = _documents(spark, tmp_path, in_files)
+    # About 27 KB of text: 27 files of 1,000 bytes, and no two input files in one partition.
+    monkeypatch.setattr(registered, "FILE_BYTES", 1_000, raising=False)
+    with session_settings(spark, {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "4k"}):
+        result = registered.queries()[name](spark, str(tmp_path))
+        assert sorted(tuple(r) for r in result.collect()) == expected
+    assert len(result.inputFiles()) >= least
