@@ -4,7 +4,8 @@ A page is read once into a tree. Its runs of text (what stands between two block
 borders) pass points for length and commas to the blocks that hold them, in full
 to the nearest and less to those above. A block's points are discounted by the
 share of its text that is in links. The best block is kept, raised to the article
-around it, with those siblings that score well too.
+around it, with those siblings that score well too. On a page without an article
+all that stands beside the best block, at any level, is kept if it is not mostly links.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and comments are known
 by their tag, role or class words and take no part.
@@ -60,7 +61,8 @@ KEPT_TAGS = frozenset("html body article main".split())
 
 SIBLING_SHARE = 0.2
 SIBLING_LEAST = 10.0
-LONG_RUN = 80
+# Share of links from which a block is furniture.
+LINKED = 0.5
 
 
 class Page:
@@ -222,15 +224,19 @@ def main_text(source: str | None) -> str:
     least = max(SIBLING_LEAST, SIBLING_SHARE * score(best))
     siblings = {n for n in points if n != best and page.parents[n] == level and score(n) >= least} if best else set()
     kept = {best} | siblings
+    whole = page.tags[best] in ("article", "main")
+    above_best = set(page.holders(best))
 
     lines = []
     for node, text, linked, around in blocks:
-        menu = density(around[0]) > 0.5 and around[0] not in kept
+        menu = density(around[0]) > LINKED and around[0] not in kept
         if any(holder in kept for holder in around):
             if not menu:
                 lines.append(text)
-        elif around[0] == level and best and page.tags[best] != "article" and len(text) > LONG_RUN and linked < len(text) / 4:
-            lines.append(text)
+        elif not whole:
+            beside = [holder for holder in around if holder not in above_best]
+            if not menu and (density(beside[-1]) if beside else linked / len(text)) <= LINKED:
+                lines.append(text)
     return "\n".join(lines)
 
 

@@ -24,6 +24,9 @@ CASES = {
     "inline tags": ("<article><p>one<b>two</b> <i>three</i></p></article>", "onetwo three"),
     "lists and tables": (f"<article><p>{PROSE}</p><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", f"{PROSE}\na\nb\nc\nd"),
     "menu inside": (f"<article><p>{PROSE}</p><div><a href=a>One thing</a> <a href=b>Two</a></div></article>", PROSE),
+    "headline outside": (f"<body><h1>Title</h1><div class=post><p>{PROSE}</p><p>{MORE}</p></div></body>", f"Title\n{PROSE}\n{MORE}"),
+    "headline in a block of its own": (f"<body><div><h1>Title</h1></div><div><div><p>{PROSE}</p><p>{MORE}</p></div></div></body>", f"Title\n{PROSE}\n{MORE}"),
+    "short second part": (f"<body><div>{f'<p>{PROSE}</p>' * 20}</div><div><p>{MORE}</p><p>Two, words, here.</p></div><p>End.</p><div><a href=a>One</a> <a href=b>Two</a></div></body>", "\n".join([PROSE] * 20 + [MORE, "Two, words, here.", "End."])),
     "comment marks": (f"<article><!-- <p>hidden</p> --><p>{PROSE}</p><!-- open", PROSE),
 }
 
