@@ -59,6 +59,9 @@ GOOD_WORDS = frozenset("article body content entry main post story text".split()
 # Elements that a class word cannot rule out.
 KEPT_TAGS = frozenset("html body article main".split())
 
+# Blocks that are navigation if most of their text is in several short links, without a heading.
+WRAPPER = frozenset("div section center".split())
+SHORT_LINK = 25.0
 SIBLING_SHARE = 0.2
 SIBLING_LEAST = 10.0
 # Share of links from which a block is furniture.
@@ -163,6 +166,12 @@ class Page:
             node = self.parents[node]
         return False
 
+    def anchor(self, node: int) -> int:
+        """The link around a node."""
+        while node > 0 and self.tags[node] != "a":
+            node = self.parents[node]
+        return node
+
     def holders(self, node: int) -> list[int]:
         """The blocks around a node that can hold an article, from the nearest."""
         found = []
@@ -182,36 +191,52 @@ def main_text(source: str | None) -> str:
     for run, node, text, linked in page.texts:
         if page.noise[node]:
             continue
-        kept = runs.setdefault(run, [node, [], 0])
+        kept = runs.setdefault(run, [node, [], 0, set()])
         text = html.unescape(text)
         kept[1].append(text)
         if linked:
             kept[2] += len(" ".join(text.split()))
-    blocks = []  # node, text, length in links, blocks around it
+            kept[3].add(page.anchor(node))
+    blocks = []  # node, text, length in links, links, blocks around it
     around_node: dict[int, list[int]] = {}
-    for node, parts, linked in runs.values():
+    for node, parts, linked, anchors in runs.values():
         text = " ".join("".join(parts).split())
         if text:
             if node not in around_node:
                 around_node[node] = page.holders(node)
-            blocks.append((node, text, linked, around_node[node]))
+            blocks.append((node, text, linked, anchors, around_node[node]))
     if not blocks:
         return ""
 
     points: dict[int, float] = defaultdict(float)
     length: dict[int, int] = defaultdict(int)
     in_links: dict[int, int] = defaultdict(int)
-    for node, text, linked, around in blocks:
+    links: dict[int, set[int]] = defaultdict(set)
+    headed: set[int] = set()
+    for node, text, linked, anchors, around in blocks:
         heading = any(page.tags[n] in HEADING for n in _up(page, node, around[0]))
         worth = 0.0 if heading else (len(text) >= 25) + text.count(",") + min(len(text) / 100, 3.0)
         for level, holder in enumerate(around):
             points[holder] += worth / (1 if level == 0 else 2 * level)
             length[holder] += len(text)
             in_links[holder] += linked
+            links[holder] |= anchors
+            if heading:
+                headed.add(holder)
 
     def density(holder: int) -> float:
         return min(1.0, in_links[holder] / max(1, length[holder]))
 
+    def navigation(around: list[int], kept: set[int]) -> bool:
+        """Whether a block below the kept ones that holds this text is navigation; cells and quotes belong to the text around."""
+        for holder in around:
+            if holder in kept or page.tags[holder] not in WRAPPER:
+                return False
+            n = len(links[holder])
+            if n > 1 and density(holder) > LINKED and in_links[holder] < SHORT_LINK * n and holder not in headed:
+                return True
+        return False
+
     def score(holder: int) -> float:
         bonus = 25.0 * (page.tags[holder] in ("article", "main")) + 5.0 * page.good[holder]
         return (points[holder] + bonus) * (1 - density(holder))
@@ -228,8 +253,8 @@ def main_text(source: str | None) -> str:
     above_best = set(page.holders(best))
 
     lines = []
-    for node, text, linked, around in blocks:
-        menu = density(around[0]) > LINKED and around[0] not in kept
+    for _, text, linked, _, around in blocks:
+        menu = navigation(around, kept)
         if any(holder in kept for holder in around):
             if not menu:
                 lines.append(text)

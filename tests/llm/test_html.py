@@ -27,6 +27,10 @@ CASES = {
     "headline outside": (f"<body><h1>Title</h1><div class=post><p>{PROSE}</p><p>{MORE}</p></div></body>", f"Title\n{PROSE}\n{MORE}"),
     "headline in a block of its own": (f"<body><div><h1>Title</h1></div><div><div><p>{PROSE}</p><p>{MORE}</p></div></div></body>", f"Title\n{PROSE}\n{MORE}"),
     "short second part": (f"<body><div>{f'<p>{PROSE}</p>' * 20}</div><div><p>{MORE}</p><p>Two, words, here.</p></div><p>End.</p><div><a href=a>One</a> <a href=b>Two</a></div></body>", "\n".join([PROSE] * 20 + [MORE, "Two, words, here.", "End."])),
+    "linked cells": (f"<article><p>{PROSE}</p><div><table><tr><td><a href=p>Paris</a><td>2</tr><tr><td><a href=l>Lyon</a><td>1</tr></table></div></article>", f"{PROSE}\nParis\n2\nLyon\n1"),
+    "sources": (f"<article><p>{PROSE}</p><section><h2>Sources</h2><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></section><div><ul><li><a href=a>{PROSE}</a><li><a href=b>{MORE}</a></ul></div></article>", f"{PROSE}\nSources\nOne\nTwo\n{PROSE}\n{MORE}"),
+    "a link in a wrapper and in a quote": (f"<article><p>{PROSE}</p><div><p><a href=a>Read on</a></p></div><blockquote><a href=a>A word</a> <a href=b>and more</a></blockquote></article>", f"{PROSE}\nRead on\nA word and more"),
+    "menu of blocks inside": (f"<article><p>{PROSE}</p><div><div><a href=a>One</a></div><div><a href=b>Two</a></div></div></article>", PROSE),
     "comment marks": (f"<article><!-- <p>hidden</p> --><p>{PROSE}</p><!-- open", PROSE),
 }
 
