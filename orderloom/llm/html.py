@@ -8,7 +8,9 @@ around it, with those siblings that score well too. On a page without an article
 all that stands beside the best block, at any level, is kept if it is not mostly links.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and comments are known
-by their tag, role or class words and take no part.
+by their tag, role or class words and take no part. Class words count on blocks
+only; those that prose has too, and those of paragraphs and headings, rule a block
+out only if it is mostly links or outside the best block.
 """
 
 from __future__ import annotations
@@ -55,6 +57,13 @@ NOISE_WORDS = frozenset(
     " pager pagination popup promo promoted promotion reactions recommended related replies respond share sharing sidebar"
     " signup skip social sponsor sponsored subscribe toolbar widget widgets gdpr paywall login".split()
 )
+# Of these, words that parts of an article have too.
+SOFT_WORDS = frozenset(
+    "banner header login masthead notice notices notification overlay recommended related share sharing signup skip social widget widgets".split()
+)
+# Blocks that any class word can rule out; other blocks are ruled out by evidence too, and inline elements never.
+CONTAINER = frozenset("aside center details div dl figure ol section table ul".split())
+HEADLINE_WORDS = frozenset("article entry post story".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 # Elements that a class word cannot rule out.
 KEPT_TAGS = frozenset("html body article main".split())
@@ -72,7 +81,7 @@ class Page:
     """The blocks of a page and its runs of text."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.noise, self.good = ["html"], [-1], [False], [False]
+        self.tags, self.parents, self.noise, self.good, self.doubt = ["html"], [-1], [False], [False], [0]
         self.texts: list[tuple[int, int, str, bool]] = []  # run, node, text, in a link
         self.run = 0
         self._read(source)
@@ -139,6 +148,7 @@ class Page:
 
     def _node(self, name: str, parent: int, attributes: str) -> int:
         noise, good = self.noise[parent] or name in NOISE_TAGS, False
+        doubtful = False
         inside_article = name == "header" and self._within(parent, "article")
         if name == "header" and not inside_article:
             noise = True
@@ -152,11 +162,17 @@ class Page:
                 else:
                     words = {w.lower() for w in WORD.findall(value)}
                     good = good or bool(words & GOOD_WORDS)
-                    noise = noise or (name not in KEPT_TAGS and not inside_article and bool(words & NOISE_WORDS))
+                    if name in BLOCK and name not in KEPT_TAGS and not inside_article and words & NOISE_WORDS:
+                        if name in CONTAINER and not words & NOISE_WORDS <= SOFT_WORDS:
+                            noise = True
+                        elif not words & HEADLINE_WORDS:
+                            doubtful = True
         self.tags.append(name)
         self.parents.append(parent)
         self.noise.append(noise)
         self.good.append(good)
+        # The outermost block around a node that a class word speaks against, 0 if none.
+        self.doubt.append(0 if name in KEPT_TAGS else self.doubt[parent] or (len(self.tags) - 1 if doubtful else 0))
         return len(self.tags) - 1
 
     def _within(self, node: int, name: str) -> bool:
@@ -208,12 +224,21 @@ def main_text(source: str | None) -> str:
     if not blocks:
         return ""
 
+    # Where all text is doubtful, no class word counts.
+    doubts = any(not page.doubt[node] for node, *_ in blocks)
+    doubt = {node: page.doubt[node] if doubts else 0 for node, *_ in blocks}
+    doubt_length: dict[int, int] = defaultdict(int)
+    doubt_links: dict[int, int] = defaultdict(int)
     points: dict[int, float] = defaultdict(float)
     length: dict[int, int] = defaultdict(int)
     in_links: dict[int, int] = defaultdict(int)
     links: dict[int, set[int]] = defaultdict(set)
     headed: set[int] = set()
     for node, text, linked, anchors, around in blocks:
+        if doubt[node]:
+            doubt_length[doubt[node]] += len(text)
+            doubt_links[doubt[node]] += linked
+            continue
         heading = any(page.tags[n] in HEADING for n in _up(page, node, around[0]))
         worth = 0.0 if heading else (len(text) >= 25) + text.count(",") + min(len(text) / 100, 3.0)
         for level, holder in enumerate(around):
@@ -253,9 +278,12 @@ def main_text(source: str | None) -> str:
     above_best = set(page.holders(best))
 
     lines = []
-    for _, text, linked, _, around in blocks:
+    for node, text, linked, _, around in blocks:
+        inside = any(holder in kept for holder in around)
+        if doubt[node] and (not inside or doubt_links[doubt[node]] > LINKED * doubt_length[doubt[node]]):
+            continue
         menu = navigation(around, kept)
-        if any(holder in kept for holder in around):
+        if inside:
             if not menu:
                 lines.append(text)
         elif not whole:

@@ -31,6 +31,11 @@ CASES = {
     "sources": (f"<article><p>{PROSE}</p><section><h2>Sources</h2><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></section><div><ul><li><a href=a>{PROSE}</a><li><a href=b>{MORE}</a></ul></div></article>", f"{PROSE}\nSources\nOne\nTwo\n{PROSE}\n{MORE}"),
     "a link in a wrapper and in a quote": (f"<article><p>{PROSE}</p><div><p><a href=a>Read on</a></p></div><blockquote><a href=a>A word</a> <a href=b>and more</a></blockquote></article>", f"{PROSE}\nRead on\nA word and more"),
     "menu of blocks inside": (f"<article><p>{PROSE}</p><div><div><a href=a>One</a></div><div><a href=b>Two</a></div></div></article>", PROSE),
+    "code comments": ("<article><pre><span class='hljs-comment'># add</span> a + <span class='token comment'>/* b */</span> b</pre></article>", "# add a + /* b */ b"),
+    "headline in a block named header": (f"<body><div class=post><div class=post-header><h1>Title</h1></div><p>{PROSE}</p></div><div class=header><p>{MORE}</p></div></body>", f"Title\n{PROSE}"),
+    "class words on prose": ("<article><p>" + PROSE + "</p>" + "".join(f"<p class='{w}'>{w} {MORE}</p><div class={w}><p>{PROSE}</p></div>" for w in ("share", "social", "related", "notice", "login", "skip")) + "</article>", "\n".join([PROSE] + [x for w in ("share", "social", "related", "notice", "login", "skip") for x in (f"{w} {MORE}", PROSE)])),
+    "class words on links": (f"<article><p>{PROSE}</p><div class=related><p>Also <a href=a>{MORE}</a></p></div><p class=share><a href=b>Share</a></p></article>", PROSE),
+    "class words on all": (f"<body><div class=page-header><p>{PROSE}</p></div></body>", PROSE),
     "comment marks": (f"<article><!-- <p>hidden</p> --><p>{PROSE}</p><!-- open", PROSE),
 }
 
