@@ -132,5 +132,62 @@ TOP_K = """
 """
 
 
+STOP_WORDS = (
+    "the of and to in is that it for was with as be on by at this are an a or from his her not but have which "
+    "de la le et les des en un une du que est pour qui dans au par plus avec il ne se sur pas "
+    "der die und das den von zu mit sich auf für ist im dem nicht ein eine als auch es "
+    "el los las y del con su para al lo como más"
+)
+RULES = rf"""
+    WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    words AS (
+      SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i
+      FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts)
+    ),
+    runs AS (
+      SELECT rid, i, word, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c, lead(word, 3) OVER o AS d, lead(word, 4) OVER o AS e
+      FROM words WINDOW o AS (PARTITION BY rid ORDER BY i)
+    ),
+    repeats AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, word, b, c, d, e) AS n FROM runs WHERE e IS NOT NULL) WHERE n > 1),
+    covered AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM repeats, range(5) r(j) GROUP BY rid),
+    of_words AS (
+      SELECT rid, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars,
+        count(*) FILTER (list_contains(string_split('{STOP_WORDS}', ' '), lower(trim(word, '.,;:()"''')))) AS n_stop
+      FROM words GROUP BY rid
+    ),
+    lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM texts),
+    of_lines AS (
+      SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+        count(*) FILTER (regexp_matches(line, '^[ \t]*[-•*‣▪·] ')) AS n_bullets,
+        count(*) FILTER (regexp_matches(line, '(\.\.\.|…)[ \t\r]*$')) AS n_ellipses
+      FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
+    ),
+    facts AS (
+      SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_stop, 0) AS n_stop, coalesce(n_lines, 0) AS n_lines,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+        coalesce(n_bullets, 0) AS n_bullets, coalesce(n_ellipses, 0) AS n_ellipses
+      FROM texts LEFT JOIN of_words USING (rid) LEFT JOIN covered USING (rid) LEFT JOIN of_lines USING (rid)
+    ),
+    judged AS (
+      SELECT *, list_filter([
+          CASE WHEN n_words < 10 THEN 'few_words' END,
+          CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 'repeated_words' END,
+          CASE WHEN n_words >= 20 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 'word_length' END,
+          CASE WHEN n_words > 0 AND 10 * n_symbols > n_words THEN 'symbols' END,
+          CASE WHEN n_words >= 50 AND 25 * n_stop < n_words THEN 'stop_words' END,
+          CASE WHEN 5 * n_dup_lines > 2 * n_lines THEN 'repeated_lines' END,
+          CASE WHEN 10 * n_bullets > 9 * n_lines THEN 'bullet_lines' END,
+          CASE WHEN 10 * n_ellipses > 3 * n_lines THEN 'ellipsis_lines' END
+        ], lambda x: x IS NOT NULL) AS failed
+      FROM facts
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+      n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, len(failed) = 0 AS kept,
+      array_to_string(failed, ',') AS failed
+    FROM judged
+"""
+
+
 def oracle_sql(n_shards: int) -> dict[str, str]:
-    return {"op3_shards": shards(n_shards), "op5_secrets": found_secrets(), "op10_topk": TOP_K}
+    return {"op3_shards": shards(n_shards), "op5_secrets": found_secrets(), "op10_topk": TOP_K, "op13_rules": RULES}
