@@ -189,5 +189,66 @@ RULES = rf"""
 """
 
 
+RESAMPLED = r"""
+    WITH RECURSIVE steps AS (
+      SELECT range AS n, 0 AS k, range::BIGINT AS c FROM range(256)
+      UNION ALL
+      SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM steps WHERE k < 8
+    ),
+    crc AS (SELECT list(c ORDER BY n) AS t FROM steps WHERE k = 8),
+    texts AS (
+      SELECT row_number() OVER () AS rid, doc_id, 0 AS target, coalesce(text, '') AS t FROM documents
+      UNION ALL
+      SELECT NULL, NULL, 1, coalesce(text, '') FROM benchmark
+    ),
+    words AS (
+      SELECT rid, target, unnest(regexp_extract_all(
+        translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+      FROM texts
+    ),
+    counted AS (SELECT rid, target, word, count(*) AS n FROM words GROUP BY rid, target, word),
+    named AS (
+      SELECT word, list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT) AS b
+      FROM (SELECT DISTINCT word FROM counted)
+    ),
+    hashed AS (
+      SELECT word,
+        xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) % 10000 AS bucket
+      FROM named, crc
+    ),
+    in_buckets AS (SELECT rid, target, bucket, sum(n) AS n FROM counted JOIN hashed USING (word) GROUP BY rid, target, bucket),
+    totals AS (SELECT coalesce(sum(n) FILTER (target = 0), 0) AS all_s, coalesce(sum(n) FILTER (target = 1), 0) AS all_t FROM in_buckets),
+    gains AS (
+      SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM (
+        SELECT bucket, coalesce(sum(n) FILTER (target = 0), 0) AS s, coalesce(sum(n) FILTER (target = 1), 0) AS t
+        FROM in_buckets GROUP BY bucket
+      ), totals
+    ),
+    weighed AS (
+      SELECT rid, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+      FROM in_buckets JOIN gains USING (bucket) WHERE target = 0 GROUP BY rid
+    ),
+    scored AS (
+      SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln(
+          (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM texts LEFT JOIN weighed USING (rid) WHERE texts.target = 0
+    ),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+        count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn
+      FROM scored
+    )
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM placed
+"""
+
+
 def oracle_sql(n_shards: int) -> dict[str, str]:
-    return {"op3_shards": shards(n_shards), "op5_secrets": found_secrets(), "op10_topk": TOP_K, "op13_rules": RULES}
+    return {
+        "op3_shards": shards(n_shards),
+        "op5_secrets": found_secrets(),
+        "op10_topk": TOP_K,
+        "op11_resampling": RESAMPLED,
+        "op13_rules": RULES,
+    }
