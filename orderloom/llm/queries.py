@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderloom.llm import bpe, counting, fingerprints, html, neardup, oracle, packing, quality, resampling, rules, secrets, sharding, topk
+from orderloom.llm import bpe, counting, fingerprints, html, neardup, oracle, packing, quality, resampling, rules, secrets, sharding, topk, trie
 from orderloom.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,10 @@ def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op12_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.trie(_table(spark, folder, "conversations"))
+
+
 def op13_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = rules.judge(_table(spark, folder, "documents").select("doc_id", "text"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -108,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_topk": op10_topk,
     "op11_resampling": op11_resampling,
+    "op12_trie": op12_trie,
     "op13_rules": op13_rules,
     "pipeline": corpus_pipeline.run,
 }
