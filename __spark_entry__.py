@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -16,15 +15,19 @@ from pyspark.sql import functions as F  # noqa: E402
 from checks import oracle  # noqa: E402
 from orderloom.operators import contracts, loads, quality, serving  # noqa: E402
 from orderloom.operators.documents import order_documents, typed_orders, typed_reviews  # noqa: E402
-from orderloom.operators.staging import shared_folder  # noqa: E402
-from orderloom.plans import aggregates, registry  # noqa: E402
+from orderloom.operators.access import OrderAccess, first_of_built_mart  # noqa: E402
+from orderloom.operators.ranged import RangedTable, write_ranged  # noqa: E402
+from orderloom.operators.staging import scratch  # noqa: E402
+from orderloom.plans import aggregates, build, registry  # noqa: E402
 from orderloom.sources import reader  # noqa: E402
 from orderloom.sources.bindings import bind  # noqa: E402
 from orderloom.sources.shop import Shop  # noqa: E402
 
 try:
     from orderloom.llm import queries as corpus
-except ImportError:  # the subpackage may be left out
+except ModuleNotFoundError as missing:
+    if missing.name not in ("orderloom.llm", "corpus_pipeline"):  # only these may be left out
+        raise
     corpus = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +98,38 @@ def _of_customer(shop: Shop) -> DataFrame:
     return _numbered(page, F.desc("order_purchase_timestamp"), "_id")
 
 
+def _access(shop: Shop) -> OrderAccess:
+    """The order documents and their indexes, written as a build writes them."""
+    spark = shop.orders.sparkSession
+    folder = scratch(spark, "orders")
+    build.write_documents(shop, folder)
+    build.write_order_indexes(spark, folder)
+    return OrderAccess(*[RangedTable(spark, f"{folder}/{name}") for name in (build.ORDERS, build.BY_KEY, build.BY_STATUS)])
+
+
+def _built(read: Callable[[OrderAccess], DataFrame]) -> Query:
+    """A page of written orders without their arrays, numbered by key."""
+    return _on_shop(lambda shop: _numbered(read(_access(shop)).drop(*contracts.ORDER_ARRAYS), "_id"))
+
+
+def _built_of_customer(shop: Shop) -> DataFrame:
+    page = _access(shop).of_customer(ONE_CUSTOMER, PAGE_SIZE).drop(*contracts.ORDER_ARRAYS)
+    return _numbered(page, F.desc("order_purchase_timestamp"), "_id")
+
+
+def _built_envelope(shop: Shop) -> DataFrame:
+    return _envelope(shop, _access(shop).page(2, PAGE_SIZE, "delivered"))
+
+
+def _built_top_n(shop: Shop) -> DataFrame:
+    """The first rows of a mart written in the order of its key."""
+    name = "customer_analytics"
+    spark = shop.orders.sparkSession
+    folder = scratch(spark, name)
+    write_ranged(loads.keyed(registry.run(name, shop), contracts.MARTS[name].key), folder, unique=True)
+    return first_of_built_mart(RangedTable(spark, folder), name, serving.MAX_SIZE)
+
+
 def _documents_flat(shop: Shop) -> DataFrame:
     def total(array: str, field: str) -> Column:
         return F.aggregate(array, F.lit(0).cast("bigint"), lambda sum_, e: sum_ + e[field])
@@ -141,7 +176,10 @@ def _orders_contract(shop: Shop) -> DataFrame:
 
 
 def _page_envelope(shop: Shop) -> DataFrame:
-    page = serving.orders_page(_keyed_orders(shop), 2, PAGE_SIZE, "delivered")
+    return _envelope(shop, serving.orders_page(_keyed_orders(shop), 2, PAGE_SIZE, "delivered"))
+
+
+def _envelope(shop: Shop, page: serving.Page) -> DataFrame:
     row = (page.total, page.page, page.size, page.total_pages)
     return shop.orders.sparkSession.createDataFrame(
         [row], "total bigint, page bigint, size bigint, total_pages bigint"
@@ -151,7 +189,7 @@ def _page_envelope(shop: Shop) -> DataFrame:
 def _through_csv(table: DataFrame, name: str) -> DataFrame:
     """The table written as CSV part files to the shared folder and read back."""
     spark = table.sparkSession
-    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    folder = scratch(spark, "csv")
     reader.write_csv(reader.typed_like(table, name), folder, name)
     return reader.read_csv(spark, folder, name)
 
@@ -229,8 +267,17 @@ def queries() -> dict[str, Query]:
         "texts_from_csv": _texts_through_csv(lambda texts: texts),
         "texts_from_csv_split": _texts_through_csv(_split),
     }
+    built = {
+        "orders_page_offset_built": _built(lambda a: a.page(3, PAGE_SIZE, "delivered").items),
+        "orders_page_deep_built": _built(lambda a: a.page(DEEP_PAGE, PAGE_SIZE).items),
+        "orders_page_keyset_built": _built(lambda a: a.after(AFTER, PAGE_SIZE)),
+        "orders_by_customer_built": _on_shop(_built_of_customer),
+        "order_by_id_built": _on_shop(lambda s: _access(s).by_id(ONE_ORDER).drop(*contracts.ORDER_ARRAYS)),
+        "orders_page_envelope_built": _on_shop(_built_envelope),
+        "customer_analytics_top_n_built": _on_shop(_built_top_n),
+    }
     on_corpus = corpus.QUERIES if corpus else {}
-    return marts | top_n | texts | {name: _on_shop(build) for name, build in others.items()} | unwound | entities | on_corpus
+    return marts | top_n | texts | built | {name: _on_shop(build) for name, build in others.items()} | unwound | entities | on_corpus
 
 
 def oracle_sql() -> dict[str, str]:

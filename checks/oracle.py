@@ -402,6 +402,8 @@ def oracle_sql(page_size: int, deep_page: int, after: int, one_order: int, one_c
         " FROM v_orders WHERE order_status = 'delivered'",
         "v_orders",
     )
+    for name in ("orders_page_offset", "orders_page_deep", "orders_page_keyset", "orders_page_envelope"):
+        sql[f"{name}_built"] = sql[name]
     as_text = "CAST(order_id AS VARCHAR) AS order_id"
     sql["orders_contract"] = _with(
         "\nSELECT CAST(order_id AS VARCHAR) AS _id, o.* EXCLUDE (order_id)"
@@ -433,6 +435,8 @@ def oracle_sql(page_size: int, deep_page: int, after: int, one_order: int, one_c
     sql["orders_by_customer"] = _page(
         "order_purchase_timestamp DESC, _id", f"customer_id = {one_customer}", page_size
     )
+    for name in ("order_by_id", "orders_by_customer", "customer_analytics_top_n"):
+        sql[f"{name}_built"] = sql[name]
     sql["customers_contract"] = _with(
         "\nSELECT CAST(customer_id AS VARCHAR) AS _id, CAST(customer_unique_id AS VARCHAR) AS customer_unique_id,"
         " CAST(customer_zip_code_prefix AS INTEGER) AS customer_zip_code_prefix, customer_city, customer_state"

@@ -29,7 +29,7 @@ class Page:
     total_pages: int
 
 
-def _check(name: str, value: int, low: int, high: int | None = None) -> None:
+def check_bounds(name: str, value: int, low: int, high: int | None = None) -> None:
     if isinstance(value, bool) or not isinstance(value, int) or value < low or (high is not None and value > high):
         bounds = f"at least {low}" if high is None else f"between {low} and {high}"
         raise ValueError(f"{name} must be {bounds}, got {value!r}")
@@ -105,8 +105,8 @@ def page(
     filters: Mapping[str, Any] | None = None,
 ) -> Page:
     """One page in key order with the total number of rows."""
-    _check("page", page, 1)
-    _check("size", size, 1, MAX_SIZE)
+    check_bounds("page", page, 1)
+    check_bounds("size", size, 1, MAX_SIZE)
     rows = filtered(table, filters)
     total = rows.count()
     skip = (page - 1) * size
@@ -149,7 +149,7 @@ def by_key(table: DataFrame, value: Any, key: str = "_id") -> DataFrame:
 
 def orders_of_customer(documents: DataFrame, customer_id: Any, limit: int = DEFAULT_SIZE) -> DataFrame:
     """Newest orders of one customer; equal times are ordered by key."""
-    _check("limit", limit, 1, MAX_SIZE)
+    check_bounds("limit", limit, 1, MAX_SIZE)
     return (
         documents.where(F.col("customer_id") == F.lit(customer_id))
         .orderBy(F.desc_nulls_last("order_purchase_timestamp"), "_id")
@@ -163,7 +163,7 @@ def first_of_mart(mart: DataFrame, name: str, limit: int = DEFAULT_SIZE) -> Data
     The limit is applied before a NULL key takes its fallback, so a row without
     key, which sorts first, takes a place.
     """
-    _check("limit", limit, 1, MAX_SIZE)
+    check_bounds("limit", limit, 1, MAX_SIZE)
     contract: Contract = MARTS[name]
     first = served(mart, contract).orderBy(F.asc_nulls_first("_id")).limit(limit)
     return conform(normalize(first, contract), contract).orderBy(F.asc_nulls_first("_id"))

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +32,16 @@ def settle(table: DataFrame) -> DataFrame:
     return table.checkpoint(eager=True)
 
 
-def broadcast_if_small(settled: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a settled table only when its counted ``rows`` stay within ``limit``."""
-    return F.broadcast(settled) if rows <= limit else settled
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table of this application, in the shared folder."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables; frames that read them cannot be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}"

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderloom.operators.access import OrderAccess
 from orderloom.operators.contracts import MARTS
 from orderloom.operators.documents import OrderDocuments, by_customer_newest_first, order_documents
 from orderloom.operators.facts import order_totals
 from orderloom.operators.loads import clean_dates, keyed
-from orderloom.operators.quality import extra_rows
-from orderloom.operators.staging import shared_folder
+from orderloom.operators.ranged import PLACE, RANGE, DuplicateKeyError, RangedTable, write_ranged, write_sorted
+from orderloom.operators.staging import scratch as scratch_folder
 from orderloom.plans import registry
 from orderloom.sources.shop import Shop
 
@@ -22,33 +23,39 @@ TABLES = (*BUSINESS_KEYS, ORDERS, *MARTS)
 # Names in the folder of builds.
 MANIFEST = "current"
 VERSION = "build-"
+# Where an order of a key, or of a status, lies among the documents.
+BY_KEY, BY_STATUS = "orders_by_key", "orders_by_status"
 # The load of products repeats one with several translations, so its key may repeat.
-UNIQUE = tuple(name for name in TABLES if name != "products")
-
-
-class DuplicateKeyError(ValueError):
-    """A key that must be unique repeats."""
-
-
-def write_table(table: DataFrame, path: str) -> int:
-    """Replace the table at ``path``; returns the rows written, counted while writing."""
-    observed = Observation()
-    table.observe(observed, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-    return observed.get["rows"]
+MAY_REPEAT = ("products",)
+# Documents are long: a read of one should not read many others.
+DOCUMENT_BLOCK = 64
 
 
 def write_documents(shop: Shop, folder: str, files: int | None = None) -> int:
     """Write the order documents, a customer's orders side by side and newest first.
 
-    File and row-group statistics then let a read by customer skip nearly all
-    of the table. Files are ranges of customer, time and key together, so the
-    orders of one very large customer spread over several files.
+    The list of blocks then leads a read by customer to its files and pages. Files
+    are ranges of customer, time and key together, so the orders of one very large
+    customer spread over several files.
     """
     files = files or int(shop.orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     built = order_documents(shop, files=files)
     documents = built.documents.repartitionById(files, "file")
     documents = documents.sortWithinPartitions(*by_customer_newest_first("_id")).drop("file")
-    return write_table(documents, f"{folder}/{ORDERS}")
+    return write_sorted(documents, f"{folder}/{ORDERS}", "customer_id", block_rows=DOCUMENT_BLOCK)
+
+
+def write_order_indexes(spark: SparkSession, folder: str) -> None:
+    """Write where each order lies, by key and by status and key; an order id that repeats raises."""
+    places = RangedTable(spark, f"{folder}/{ORDERS}").placed().select(
+        "_id",
+        "order_status",
+        F.col("_metadata.file_name").alias("at_file"),
+        F.col(RANGE).alias("at_range"),
+        F.col(PLACE).alias("at_place"),
+    )
+    write_ranged(places, f"{folder}/{BY_KEY}", "_id", unique=True)
+    write_ranged(places, f"{folder}/{BY_STATUS}", "_id", "order_status")
 
 
 def read_documents(spark: SparkSession, folder: str) -> OrderDocuments:
@@ -59,10 +66,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the build that ``folder`` has published."""
     if name not in TABLES:
         raise KeyError(f"unknown table: {name}")
-    version = published(spark, folder)
-    if version is None:
-        raise FileNotFoundError(f"no complete build in {folder}")
-    return spark.read.parquet(f"{folder}/{version}/{name}")
+    return ranged_table(spark, folder, name).rows()
+
+
+def ranged_table(spark: SparkSession, folder: str, name: str) -> RangedTable:
+    """A table of the published build with its blocks, for bounded reads."""
+    return RangedTable(spark, f"{_published(spark, folder)}/{name}")
+
+
+def order_access(spark: SparkSession, folder: str) -> OrderAccess:
+    """Bounded reads of the published orders."""
+    return OrderAccess(*[ranged_table(spark, folder, name) for name in (ORDERS, BY_KEY, BY_STATUS)])
 
 
 def _path(spark: SparkSession, name: str):
@@ -76,6 +90,13 @@ def published(spark: SparkSession, folder: str) -> str | None:
     return spark.read.text(path.toString()).first()["value"] if files.exists(path) else None
 
 
+def _published(spark: SparkSession, folder: str) -> str:
+    version = published(spark, folder)
+    if version is None:
+        raise FileNotFoundError(f"no complete build in {folder}")
+    return f"{folder}/{version}"
+
+
 def publish(spark: SparkSession, folder: str, version: str) -> None:
     """Point the manifest to a build, in one step; of the builds before, the last one stays for its readers."""
     before = published(spark, folder)
@@ -105,30 +126,27 @@ def with_written_totals(shop: Shop, path: str) -> Shop:
 
 
 def build_all(shop: Shop, folder: str) -> dict[str, int]:
-    """Write all ten tables and publish them together; returns their row counts.
+    """Write all ten tables and the order indexes and publish them together; returns the tables' row counts.
 
-    The tables go to a folder of their own, and readers follow the manifest, so a
-    build that fails leaves the one before in place. A key that repeats raises.
+    Every table is written in the order of its key, and its key is checked while the
+    list of its blocks is made: one that repeats raises, except in products. The tables
+    go to a folder of their own, and readers follow the manifest, so a build that fails
+    leaves the one before in place.
     """
     spark = shop.orders.sparkSession
-    repeated = extra_rows(shop.orders, ["order_id"]).first()["duplicates"]
-    if repeated:
-        raise DuplicateKeyError(f"{repeated} rows repeat an order id")
     version = f"{VERSION}{uuid.uuid4().hex}"
-    target, scratch = f"{folder}/{version}", f"{shared_folder(spark)}/order-totals-{uuid.uuid4().hex}"
+    target, scratch = f"{folder}/{version}", scratch_folder(spark, "order-totals")
     counts = {}
     try:
         for name, key in BUSINESS_KEYS.items():
-            counts[name] = write_table(clean_dates(keyed(registry.run(name, shop), key)), f"{target}/{name}")
+            table = clean_dates(keyed(registry.run(name, shop), key))
+            counts[name] = write_ranged(table, f"{target}/{name}", unique=name not in MAY_REPEAT)
         counts[ORDERS] = write_documents(shop, target)
+        write_order_indexes(spark, target)
         staged = with_written_totals(shop, scratch)
         for name, contract in MARTS.items():
             mart = keyed(registry.run(name, staged), contract.key)
-            counts[name] = write_table(clean_dates(mart), f"{target}/{name}")
-        for name in UNIQUE:
-            repeated = extra_rows(spark.read.parquet(f"{target}/{name}"), ["_id"]).first()["duplicates"]
-            if repeated:
-                raise DuplicateKeyError(f"{repeated} rows of {name} repeat a key")
+            counts[name] = write_ranged(clean_dates(mart), f"{target}/{name}", unique=True)
         publish(spark, folder, version)
     except BaseException:
         path, files = _path(spark, target)

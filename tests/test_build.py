@@ -59,7 +59,7 @@ def test_a_complete_build_is_not_repeated(spark, shop, built):
 
 def test_a_half_finished_build_is_repeated(spark, shop, tmp_path):
     folder = str(tmp_path / "half")
-    build.write_table(shop.orders, f"{folder}/build-left/orders")
+    build.write_ranged(shop.orders, f"{folder}/build-left/orders", "order_id")
     assert not build.is_built(spark, folder)
     assert ol.build_once(shop, folder)["orders"] == shop.orders.count()
     assert build.is_built(spark, folder)
@@ -76,7 +76,8 @@ def test_a_failing_rebuild_leaves_the_build_before(spark, shop, tmp_path):
     assert build.published(spark, folder) == version
     assert build.read_table(spark, folder, "sellers").count() == before["sellers"]
     assert sorted(os.listdir(folder)) == sorted([version, build.MANIFEST] + [f for f in os.listdir(folder) if f.startswith(".")])
-    assert not [f for f in os.listdir(staging.shared_folder(spark)) if f.startswith("order-totals-")]
+    left = [f for _, folders, _ in os.walk(staging.shared_folder(spark)) for f in folders]
+    assert not [f for f in left if f.startswith("order-totals-")]
 
 
 def test_a_rebuild_replaces_all_tables_at_once(spark, shop, tmp_path):
@@ -93,10 +94,11 @@ def test_a_rebuild_replaces_all_tables_at_once(spark, shop, tmp_path):
 
 def test_writing_replaces_a_table_even_by_nothing(spark, shop, tmp_path):
     path = str(tmp_path / "t")
-    assert build.write_table(shop.sellers, path) == shop.sellers.count()
-    assert build.write_table(shop.sellers.where("false"), path) == 0
-    assert spark.read.parquet(path).columns == shop.sellers.columns
-    assert spark.read.parquet(path).count() == 0
+    assert build.write_ranged(shop.sellers, path, "seller_id") == shop.sellers.count()
+    assert build.write_ranged(shop.sellers.where("false"), path, "seller_id") == 0
+    table = build.RangedTable(spark, path)
+    assert table.rows().columns == shop.sellers.columns
+    assert (table.rows().count(), table.total(), table.at_rank(0, 5).count()) == (0, 0, 0)
 
 
 def test_repeated_order_ids_are_an_error(shop, tmp_path):
@@ -114,7 +116,7 @@ def test_customers_lie_together_and_large_ones_are_split(spark, shop, tmp_path):
     hot = shop.orders.withColumn("customer_id", F.when(F.col("order_id") % 3 > 0, 7).otherwise(F.col("customer_id")))
     folder = str(tmp_path)
     assert build.write_documents(ol.Shop(**(shop.tables() | {"orders": hot})), folder, 8) == hot.count()
-    written = spark.read.parquet(f"{folder}/orders").withColumn("file", F.col("_metadata.file_name"))
+    written = spark.read.parquet(f"{folder}/orders/rows").withColumn("file", F.col("_metadata.file_name"))
     by_file = written.groupBy("file").agg(F.min("customer_id").alias("low"), F.max("customer_id").alias("high"))
     ranges = sorted((r["low"], r["high"]) for r in by_file.collect())
     assert len(ranges) == 8
@@ -149,10 +151,9 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert os.listdir(spark.conf.get("spark.checkpoint.dir"))
 
 
-def test_broadcast_needs_a_counted_size(spark):
-    def hinted(rows):
-        table = staging.broadcast_if_small(spark.range(3), rows, limit=10)
-        return "broadcast" in table._jdf.queryExecution().logical().toString()
-
-    assert hinted(10)
-    assert not hinted(11)
+def test_scratch_tables_are_cleared_together(spark):
+    folder = staging.scratch(spark, "some")
+    spark.range(3).write.parquet(folder)
+    assert folder != staging.scratch(spark, "some") and spark.read.parquet(folder).count() == 3
+    staging.clear(spark)
+    assert not os.path.exists(folder)
