@@ -16,14 +16,15 @@ from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 RANGE, PLACE = "range_", "place_"
 BLOCK_ROWS = 1_024
 # Rows in a file at most; ranges beyond that take several files.
 FILE_ROWS = 4_000_000
+# Blocks in a file of their list.
+LIST_ROWS = 1_000_000
 # Bits of a row's place in its range.
 PLACE_BITS = 33
 
@@ -73,16 +74,14 @@ def write_sorted(
         .parquet(f"{path}/rows")
     )
     rows = table.sparkSession.read.schema(placed.schema).parquet(f"{path}/rows")
-    _write_blocks(rows, path, key, group, block_rows, unique)
-    if unique:
-        repeated = _repeated(table.sparkSession.read.parquet(f"{path}/blocks"))
-        if repeated:
-            raise DuplicateKeyError(f"{repeated} rows repeat a key in {path}")
+    repeated = _write_blocks(rows, path, key, group, block_rows, unique)
+    if repeated:
+        raise DuplicateKeyError(f"{repeated} rows repeat a key in {path}")
     return observed.get["rows"]
 
 
-def _write_blocks(rows: DataFrame, path: str, key: str, group: str | None, block_rows: int, unique: bool) -> None:
-    """One row per block, file and group, from one scan of the key, the group and the places."""
+def _write_blocks(rows: DataFrame, path: str, key: str, group: str | None, block_rows: int, unique: bool) -> int:
+    """One row per block, file and group, from one scan of the key, the group and the places; returns the repeats of unique keys."""
     groups = [] if group is None else ["group"]
     keys = rows.select(
         RANGE,
@@ -105,34 +104,42 @@ def _write_blocks(rows: DataFrame, path: str, key: str, group: str | None, block
         F.sum(F.when(F.col("key").isNull(), F.col("rows")).otherwise(0)).alias("nulls"),
         *([F.count("key").alias("keys")] if unique else []),
     )
-    # Rows before a block: those of the ranges before, a row each, and those before it in its range.
-    by_range = blocks.groupBy(*groups, RANGE).agg(F.sum("rows").alias("of_range"))
-    earlier = W.partitionBy(*groups).orderBy(RANGE)
-    offsets = by_range.select(
-        *[F.col(g).alias("g") for g in groups],
-        F.col(RANGE).alias("r"),
-        (F.sum("of_range").over(earlier) - F.col("of_range")).alias("offset"),
-    )
-    inside = W.partitionBy(*groups, RANGE).orderBy("low")
-    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col("g")) for g in groups], F.col(RANGE) == F.col("r"))
-    numbered = blocks.withColumn("inside", F.sum("rows").over(inside) - F.col("rows")).join(offsets, same)
-    listed = numbered.withColumn("before", F.col("offset") + F.col("inside")).drop("offset", "inside", "g", "r")
-    listed.orderBy(*groups, "before").write.mode("overwrite").parquet(f"{path}/blocks")
-
-
-def _repeated(blocks: DataFrame) -> int:
+    blocks = blocks.persist()  # used twice; far fewer than the rows
+    try:
+        ranges = blocks.groupBy(*groups, RANGE).agg(F.sum("rows"), F.min("low"), F.count(F.lit(1)), F.sum("nulls"))
+        # A row per range, and one more for each group that begins within a range.
+        found = sorted(ranges.collect(), key=lambda r: [(v is not None, v) for v in r[: len(groups) + 1]])
+        offsets, before = [], {}
+        for *which, rows_, low, _, _ in found:
+            named = tuple(which[:-1])
+            offsets.append((*which, before.get(named, 0) - low))
+            before[named] = before.get(named, 0) + rows_
+        n_blocks = sum(r[-2] for r in found)
+        repeated = _repeated(blocks, sum(r[-1] for r in found)) if unique else 0
+        kinds = [blocks.schema[name] for name in (*groups, RANGE)]
+        shape = StructType([*[StructField(f"{k.name} ", k.dataType) for k in kinds], StructField("offset", LongType())])
+        known = rows.sparkSession.createDataFrame(offsets, shape)
+        same = reduce(lambda a, b: a & b, [F.col(k.name).eqNullSafe(F.col(f"`{k.name} `")) for k in kinds])
+        listed = blocks.join(F.broadcast(known), same).withColumn("before", F.col("offset") + F.col("low"))
+        in_order = [*groups, "before"]
+        listed = listed.select(*blocks.columns, "before")
+        listed = listed.coalesce(1) if n_blocks <= LIST_ROWS else listed.repartitionByRange(-(-n_blocks // LIST_ROWS), *in_order)
+        listed.sortWithinPartitions(*in_order).write.mode("overwrite").parquet(f"{path}/blocks")
+    finally:
+        blocks.unpersist()
+    return repeated
+
+
+def _repeated(blocks: DataFrame, nulls: int) -> int:
     """Rows beyond the first of each key; NULL keys form one group.
 
     Equal keys are neighbours: repeats lie within a block, or a key is the first or
     last one of several blocks.
     """
-    inside = blocks.agg(
-        F.coalesce(F.sum(F.col("rows") - F.col("nulls") - F.col("keys")), F.lit(0)).alias("repeats"),
-        F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"),
-    ).first()
+    inside = blocks.agg(F.sum(F.col("rows") - F.col("nulls") - F.col("keys"))).first()[0] or 0
     ends = blocks.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("key")).where("key IS NOT NULL")
-    across = ends.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    return inside["repeats"] + across + max(0, inside["nulls"] - 1)
+    across = ends.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.sum("n")).first()[0] or 0
+    return inside + across + max(0, nulls - 1)
 
 
 class RangedTable:
