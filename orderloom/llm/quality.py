@@ -27,6 +27,8 @@ LARGEST_REPEAT = 6
 LEAST_SIZE = 256
 # Rows that the linear model is fitted on, and turned into probabilities with, at most.
 SAMPLE_ROWS = 8_000
+# Slots of these rows together, at most (and those of one more row): 64 MB.
+SAMPLE_SLOTS = 1 << 24
 CALIBRATION_SHARE = 0.25
 SMOOTHING = 1.0
 PENALTY = 1.0
@@ -94,7 +96,9 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     Of repeated labels of a document the lowest counts; of repeated documents one
     counts (the text that sorts last). NULL keys, labels and other label values
-    teach nothing; a NULL text is empty. Without rows of both classes every score
+    teach nothing; a NULL text is empty. N-grams are counted over all labelled rows;
+    the linear model is fitted, in one task, on SAMPLE_ROWS rows by a hash of their
+    key, and of these on the first with SAMPLE_SLOTS slots together. Without rows of both classes every score
     is the (smoothed) share of label 1.
     """
     marks = (
@@ -120,19 +124,37 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     positive, negative = ones[:SLOTS] + SMOOTHING, zeros[:SLOTS] + SMOOTHING
     ratios = np.log(positive / positive.sum()) - np.log(negative / negative.sum())
 
-    chosen = marks.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS)
+    chosen = marks.withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(SAMPLE_ROWS)
     sample = (
         rows.join(F.broadcast(chosen), "k")  # at most SAMPLE_ROWS rows
-        .groupBy("k")
+        .groupBy("h", "k")
         .agg(F.max("t").alias("t"), F.max("y").alias("y"))
-        .mapInArrow(_slots, "k binary, y int, slots binary")
-        .toPandas()
-        .sort_values("k")
+        .select("h", F.col("k").cast("string").alias("k"), "y", "t")
+        .mapInArrow(_slots, "h bigint, k string, y int, slots binary")
     )
-    data = [np.frombuffer(s, np.int32) for s in sample["slots"]]
-    truth = sample["y"].to_numpy() * 2 - 1
-    fitted = _fitted(data, truth, ratios)
-    return fitted or untaught
+    return _fitted_in_a_task(sample, ratios) or untaught
+
+
+def _fitted_in_a_task(sample: DataFrame, ratios: np.ndarray) -> Model | None:
+    """The model of the sample's first SAMPLE_SLOTS slots, fitted by one task; only the model reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, held = [], 0
+        for batch in batches:
+            for key, label, slots in zip(batch.column("k").to_pylist(), batch.column("y").to_pylist(), batch.column("slots")):
+                if held < SAMPLE_SLOTS:
+                    taken.append((key, label * 2 - 1, np.frombuffer(slots.as_py(), np.int32)))
+                    held += len(taken[-1][2])
+        taken.sort(key=lambda row: row[0])
+        model = _fitted([slots for _, _, slots in taken], np.array([y for _, y, _ in taken]), ratios) if taken else None
+        found = [] if model is None else [(model.weights.tobytes(), model.bias, model.slope, model.shift)]
+        kinds = [pa.binary(), pa.float64(), pa.float64(), pa.float64()]
+        columns = [pa.array([row[i] for row in found], kind) for i, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, ["weights", "bias", "slope", "shift"])
+
+    in_order = sample.repartition(1).sortWithinPartitions("h", "k")  # bounded by SAMPLE_ROWS rows
+    row = in_order.mapInArrow(run, "weights binary, bias double, slope double, shift double").first()
+    return row and Model(np.frombuffer(row["weights"], np.float64), row["bias"], row["slope"], row["shift"])
 
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,11 +193,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams = Grams()
     for batch in batches:
-        keys = [str(k).encode() for k in batch.column(0).to_pylist()]
-        slots = [grams(text).tobytes() for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), batch.column(2), pa.array(slots, pa.binary())], ["k", "y", "slots"]
-        )
+        for at in range(0, batch.num_rows, 64):  # a small part at a time bounds what is held
+            part = batch.slice(at, 64)
+            slots = [grams(text).tobytes() for text in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(slots, pa.binary())], ["h", "k", "y", "slots"])
 
 
 def _fitted(data: list[np.ndarray], truth: np.ndarray, ratios: np.ndarray) -> Model | None:
@@ -202,20 +223,25 @@ def descend(
     """
     weights, bias = np.zeros(SLOTS), 0.0
     dual = np.zeros(len(data))
-    values = [ratios[slots] / size(slots) for slots in data]
-    sizes = [float(v @ v) + 1.0 for v in values]
+
+    def scaled(slots: np.ndarray) -> np.ndarray:
+        """A row's values, worked out anew each time: all of them would take twice the room of the slots."""
+        return ratios[slots] / size(slots)
+
+    sizes = [float(v @ v) + 1.0 for v in map(scaled, data)]
     positive = max(1, int((truth[train] > 0).sum()))
     limit = {1: PENALTY * len(train) / (2 * positive), -1: PENALTY * len(train) / (2 * max(1, len(train) - positive))}
     for _ in range(PASSES):
         moved = 0.0
         for i in chance.permutation(train):
             y = int(truth[i])
-            slope = y * (float(weights[data[i]] @ values[i]) + bias) - 1
+            values = scaled(data[i])
+            slope = y * (float(weights[data[i]] @ values) + bias) - 1
             fresh = min(max(dual[i] - slope / sizes[i], 0.0), limit[y])
             change = fresh - dual[i]
             if change:
                 dual[i] = fresh
-                weights[data[i]] += change * y * values[i]
+                weights[data[i]] += change * y * values
                 bias += change * y
                 moved = max(moved, abs(change))
         if moved < 1e-4:

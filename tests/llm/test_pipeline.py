@@ -67,3 +67,21 @@ def test_empty_documents(spark, tmp_path):
         stage(spark, docs, FOLDER).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
+
+
+def test_clashing_columns_nulls_and_repeats(spark):
+    """Columns named like an operator's own, or with a dot, stay as they are in every stage that keeps documents."""
+    kinds = "score string, doc_id bigint, text string, `a.b` int, keep string, predicted string, `text ` string"
+    some = [r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    rows = [(f"s{i}", i, text, i, "k", "p", "t") for i, text in enumerate([*some, None, "", some[0], "password = hunter22secret"])]
+    docs = spark.createDataFrame([*rows, rows[3], (None, None, some[5], None, None, None, None)], kinds)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        for table in (docs, docs.limit(0)):
+            kept = stage(spark, table, FOLDER)
+            assert kept.dtypes == docs.dtypes, name
+            found = [tuple(r) for r in kept.collect()]
+            assert len(found) <= table.count()
+            if name != "secrets":
+                assert set(found) <= set(map(tuple, docs.collect()))
+    masked = corpus_pipeline.without_secrets(spark, docs, FOLDER).where("doc_id = 43").first()
+    assert "hunter22secret" not in masked["text"] and masked["score"] == "s43"
