@@ -222,22 +222,38 @@ def _linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     # A text's hub is the head it shares most bands with.
     met = crowd.join(heads, "bucket").groupBy("d", "head").agg(F.count(F.lit(1)).alias("shared"))
     hubs = land(met.groupBy("d").agg(F.max(F.struct("shared", "head")).alias("best")).select("d", F.col("best.head.d").alias("h")))
-    compared = land(_compared(hubs.where("d <> h"), texts))
+    # The texts that any comparison may need, once each: all others are read and moved no more.
+    bodies = land(texts.join(hubs.select("d").hint("merge"), "d", "left_semi").groupBy("d").agg(F.max("t").alias("t")))
+    compared = land(_compared(hubs.where("d <> h"), bodies))
     labels = _components(_links(compared, least))
 
-    # In buckets that still hold several classes every text meets the hubs of all.
+    # In buckets that still hold several classes every text meets the hubs of those of another class and a fitting size.
     open_ = land(_undecided(_placed(crowd.select("bucket", "d", "n"), labels).join(hubs, "d")))
-    wanted = open_.select("bucket", "d").join(open_.select("bucket", "h").distinct(), "bucket").select("d", "h").distinct()
+    wanted = _wanted(open_, least)
     more = wanted.where("d <> h").join(compared.select("d", "h"), ["d", "h"], "left_anti")
-    compared = land(compared.unionByName(_compared(more, texts)))
+    compared = land(compared.unionByName(_compared(more, bodies)))
     labels = _components(_links(compared, least))
 
     still = land(_undecided(open_.select("bucket", "d", "n", "h").join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))))
     pairs = land(_possible(still, compared, least))
-    last = land(_compared(pairs, texts))
+    last = land(_compared(pairs, bodies))
     return _components(_links(compared.unionByName(last), least))
 
 
+def _wanted(open_: DataFrame, least: float) -> DataFrame:
+    """Pairs (d, h): h is the hub of a text of d's bucket that is in another class and not too long or short for d.
+
+    Like texts have sizes within a factor of ``least``, so their logarithms to that
+    base fall into the same whole number or neighbouring ones.
+    """
+    sized = open_.withColumn("size", F.floor(F.ln(F.col("n").cast("double")) / F.lit(float(-np.log(least)))).cast("int"))
+    # A hub with its texts' classes in a bucket and size: one class, or several, one of which is another than d's.
+    of_size = sized.groupBy("bucket", "size", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    near = sized.select("bucket", "d", "c", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")).distinct()
+    met = near.join(of_size, ["bucket", "size"]).where((F.col("low") != F.col("c")) | (F.col("high") != F.col("c")))
+    return met.select("d", "h").distinct()
+
+
 def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))
 
@@ -305,11 +321,8 @@ def _rarest(facts: DataFrame, least: float) -> DataFrame:
     return shared.withColumn("place", place).where("place <= n - need + 1").select("d", "h", "nd", "c", "x")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """Pairs (d, h) with their overlap ``o``, sizes ``nd`` and ``nh``, and the shingles of d that h has not (``out``)."""
-    pairs = land(pairs)
-    wanted = pairs.select("d").union(pairs.select(F.col("h").alias("d"))).distinct()
-    bodies = land(texts.join(wanted, "d", "left_semi").groupBy("d").agg(F.max("t").alias("t")))
     left = bodies.select("d", F.col("t").alias("left"))
     right = bodies.select(F.col("d").alias("h"), F.col("t").alias("right"))
 
