@@ -54,17 +54,8 @@ def _on_shop(build: Callable[[Shop], DataFrame]) -> Query:
     return lambda spark, folder: build(bind(spark, folder))
 
 
-def _monthly(shop: Shop) -> DataFrame:
-    return _rounded(registry.run("monthly_metrics", shop))
-
-
-def _rounded(monthly: DataFrame) -> DataFrame:
-    # A mean of means is a sum of fractions: its last bit depends on the order.
-    return monthly.withColumn("avg_review_score", F.round("avg_review_score", 6))
-
-
 def _mart(name: str) -> Callable[[Shop], DataFrame]:
-    return _monthly if name == "monthly_metrics" else lambda shop: registry.run(name, shop)
+    return lambda shop: registry.run(name, shop)
 
 
 def _top_n(name: str) -> Query:

@@ -110,10 +110,18 @@ MONTHLY = f"""
            CAST(coalesce(sum(freight), 0) AS DOUBLE) AS freight,
            CAST(coalesce(sum(revenue), 0) AS DOUBLE) / count(DISTINCT order_id) AS avg_order_value,
            avg({DAYS}) AS avg_delivery_days,
-           round(avg(score), 6) AS avg_review_score
-    FROM v_orders
+           any_value(avg_review_score) AS avg_review_score
+    FROM v_orders o
     LEFT JOIN order_money USING (order_id)
-    LEFT JOIN (SELECT order_id, avg(review_score) AS score FROM v_reviews GROUP BY order_id) USING (order_id)
+    LEFT JOIN (
+      SELECT month_, list_reduce(list(s / n ORDER BY n), lambda a, b: a + b) / sum(c) AS avg_review_score
+      FROM (
+        SELECT date_trunc('month', order_purchase_timestamp) AS month_, n, CAST(sum(s) AS BIGINT) AS s, count(*) AS c
+        FROM v_orders
+        JOIN (SELECT order_id, sum(review_score) AS s, count(review_score) AS n FROM v_reviews GROUP BY order_id) USING (order_id)
+        WHERE n > 0 GROUP BY 1, 2
+      ) GROUP BY month_
+    ) means ON means.month_ IS NOT DISTINCT FROM date_trunc('month', o.order_purchase_timestamp)
     GROUP BY 1"""
 
 PRODUCT = """

@@ -45,8 +45,8 @@ def _totals_by(items: DataFrame, *keys: str) -> DataFrame:
 
 
 def review_scores(reviews: DataFrame) -> DataFrame:
-    """Per order: mean review score."""
-    return reviews.groupBy("order_id").agg(*exprs("avg(cast(review_score as double)) as score"))
+    """Per order: sum and number of its review scores, whose quotient is their mean."""
+    return reviews.groupBy("order_id").agg(*exprs("sum(review_score) as scores", "count(review_score) as n_scores"))
 
 
 def category_names(translations: DataFrame) -> DataFrame:

@@ -61,7 +61,9 @@ def monthly_metrics(shop: Shop) -> DataFrame:
     by_month = (
         by_order.join(_totals(shop), "order_id", "left")
         .join(review_scores(shop.order_reviews), "order_id", "left")
-        .groupBy("month")
+        # Means of as many scores add up as whole numbers, so the mean of all means
+        # is that of a few quotients in a fixed order.
+        .groupBy("month", "n_scores")
         .agg(
             *exprs(
                 "count(order_id) as orders",
@@ -69,12 +71,21 @@ def monthly_metrics(shop: Shop) -> DataFrame:
                 "sum(if(order_id is not null, canceled, 0)) as cancelled_orders",
                 "sum(days) as days",
                 "sum(deliveries) as deliveries",
-                "sum(score * copies) as scores",
-                "sum(if(score is not null, copies, 0)) as reviewed",
+                "sum(scores * copies) as scores",
+                "sum(if(n_scores > 0, copies, 0)) as reviewed",
             ),
             *sum_totals("revenue", times="copies"),
             *sum_totals("freight", times="copies"),
         )
+        .groupBy("month")
+        .agg(
+            *exprs(
+                *[f"sum({c}) as {c}" for c in ("orders", "delivered_orders", "cancelled_orders", "days", "deliveries", "reviewed")],
+                "array_sort(collect_list(if(n_scores > 0, struct(n_scores, scores / n_scores as mean), null))) as means",
+            ),
+            *sum_totals("revenue"),
+            *sum_totals("freight"),
+        )
     )
     return by_month.selectExpr(
         "month",
@@ -85,7 +96,7 @@ def monthly_metrics(shop: Shop) -> DataFrame:
         f"{total('freight')} as freight",
         f"try_divide({total('revenue')}, orders) as avg_order_value",
         "try_divide(days, deliveries) as avg_delivery_days",
-        "try_divide(scores, reviewed) as avg_review_score",
+        "try_divide(aggregate(means, 0D, (total, m) -> total + m.mean), reviewed) as avg_review_score",
     )
 
 
@@ -189,9 +200,11 @@ def seller_analytics(shop: Shop) -> DataFrame:
     baskets = shop.order_items.groupBy("seller_id", "order_id").agg(
         *sum_amounts("price", "price"), *sum_amounts("freight", "freight_value")
     )
+    # Grouped on a second, dependent key, so that the join shuffles orders once more:
+    # only then can an order id that many baskets share, or lack, be split.
     by_order = (
-        shop.orders.selectExpr("order_id", "order_status", f"{DELIVERY_DAYS} as days")
-        .groupBy("order_id")
+        shop.orders.selectExpr("order_id", "hash(order_id) as spread", "order_status", f"{DELIVERY_DAYS} as days")
+        .groupBy("order_id", "spread")
         .agg(
             *exprs(
                 COPIES,
@@ -202,7 +215,7 @@ def seller_analytics(shop: Shop) -> DataFrame:
         )
     )
     sales = (
-        baskets.join(by_order, "order_id", "left")
+        baskets.join(by_order.drop("spread"), "order_id", "left")
         .groupBy("seller_id")
         .agg(
             *exprs(

@@ -186,3 +186,31 @@ def test_floats_and_money(spark, value, kind, expected):
 )
 def test_moments(spark, value, kind, expected):
     assert read(spark, coerce.as_moment, value, kind) == expected
+
+
+def test_fine_parts_do_not_overflow(spark):
+    """Three rows of less than a unit, each counted 10^10 times."""
+    rows = spark.createDataFrame([(0.00004, 10**10)] * 3, "x double, n bigint")
+    by_row = rows.withColumn("k", F.monotonically_increasing_id()).groupBy("k", "n").agg(*sum_amounts("x", "x"))
+    found = by_row.agg(*sum_totals("x", times="n")).selectExpr(total("x")).first()[0]
+    assert found == pytest.approx(1_200_000, rel=1e-9)
+    counted = rows.agg(*sum_amounts("x", "x", times="n")).selectExpr(total("x")).first()[0]
+    assert counted == pytest.approx(1_200_000, rel=1e-9)
+
+
+@pytest.mark.parametrize("scale", [1e-5, 1.0, 1e13, 3e14, 5e14, 1e17, 1e20, 1e26])
+def test_totals_do_not_depend_on_the_order_of_rows(spark, scale):
+    values = [scale * x for x in (0.1, 0.7, -0.3, 3.3, 0.123456789, -2.9, 1.0, 0.35)] + [0.01, 123.45]
+    found = {
+        summed(spark, values),
+        summed(spark, values[::-1]),
+        spark.createDataFrame([(v,) for v in values[::-1]], "x double").repartition(3).agg(*sum_amounts("x", "x")).selectExpr(total("x")).first()[0],
+    }
+    assert len(found) == 1
+    assert found.pop() == pytest.approx(math.fsum(values), rel=1e-12)
+
+
+def test_large_amounts_cancel_exactly(spark):
+    assert summed(spark, [5e14, 0.25, -5e14]) == 0.25
+    assert summed(spark, [1e20, 12.5, -1e20, 3e17, -3e17]) == 12.5
+    assert summed(spark, [-4e14, 4e14 + 0.5, 1.25]) == 1.75

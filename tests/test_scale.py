@@ -113,3 +113,18 @@ def test_an_order_id_shared_by_many_customers_is_split(spark, skewed, written, t
         assert sum(r["total_spent"] for r in rows) == 105_000.0
         assert sum(r["orders"] for r in rows) == 60_000
         assert "skew=true" in plan_of(mart)
+
+
+@pytest.mark.parametrize("hot", ["1", None])
+def test_an_order_id_in_many_baskets_is_split(spark, skewed, hot):
+    """A third of the sellers' baskets share one order id, or have none."""
+    shared = F.when(F.col("order_id") % 3 == 1, F.lit(hot)).otherwise(F.col("order_id"))
+    items = skewed.order_items.withColumn("seller_id", F.col("order_id")).withColumn("order_id", shared)
+    sellers = skewed.orders.select(F.col("order_id").alias("seller_id"))
+    tables = skewed.tables() | {"order_items": items, "sellers": typed_like(sellers, "sellers")}
+    with session_settings(spark, SMALL_SKEW):
+        mart = ol.run("seller_analytics", ol.Shop(**tables))
+        rows = mart.collect()
+        assert len(rows) == 60_000 and sum(r["revenue"] for r in rows) == 105_000.0
+        assert sum(r["orders"] for r in rows) == (60_000 if hot else 40_000)
+        assert "skew=true" in plan_of(mart)
