@@ -166,6 +166,37 @@ def _orders_contract(shop: Shop) -> DataFrame:
     return orders.select(*contracts.ORDER_FIELDS, *sizes)
 
 
+def _dirty_mart(shop: Shop) -> DataFrame:
+    """Customer sales stored as text, some of it unreadable, by the key's last digit; normalised and as the contract has it."""
+    contract = contracts.MARTS["customer_analytics"]
+    stored = registry.run("customer_analytics", shop).selectExpr(
+        "customer_id as _id",
+        """case customer_id % 10 when 0 then concat(' ', orders, ' ') when 1 then concat(orders, '.5') when 2 then ''
+             when 3 then 'many' when 4 then null else cast(orders as string) end as orders""",
+        """case customer_id % 10 when 5 then 'nan' when 6 then 'Infinity' when 7 then concat('  ', total_spent)
+             when 8 then 'abc' when 9 then null else cast(total_spent as string) end as total_spent""",
+        "case customer_id % 10 when 7 then '1e999' when 8 then '2.5e1' else cast(avg_order_value as string) end as avg_order_value",
+        """case customer_id % 10 when 5 then concat(date_format(first_order, "yyyyMMdd'T'HHmmss"), '+0200')
+             when 6 then concat(date_format(first_order, 'yyyy-MM-dd HH:mm:ss'), '.123456789Z')
+             when 7 then 'soon' else date_format(first_order, 'yyyy-MM-dd') end as first_order""",
+    )
+    kept = ["_id", "orders", "total_spent", "avg_order_value", "first_order"]
+    return contracts.conform(contracts.normalize(stored, contract), contract).select(*kept)
+
+
+def _order_violations(shop: Shop) -> DataFrame:
+    """Orders whose customer or status was taken away or changed, by the key's last digits."""
+    spoiled = _keyed_orders(shop).selectExpr(
+        "_id",
+        "if(_id % 7 = 0, null, customer_id) as customer_id",
+        "case _id % 11 when 0 then null when 1 then 'lost' else order_status end as order_status",
+        "if(_id % 13 = 0, null, array()) as items",
+        "array() as payments",
+        "if(_id % 17 = 0, null, array()) as reviews",
+    )
+    return contracts.order_violations(spoiled)
+
+
 def _page_envelope(shop: Shop) -> DataFrame:
     return _envelope(shop, serving.orders_page(_keyed_orders(shop), 2, PAGE_SIZE, "delivered"))
 
@@ -248,6 +279,8 @@ def queries() -> dict[str, Query]:
         "items_from_csv": lambda s: _through_csv(s.order_items, "order_items"),
         "order_by_id": lambda s: serving.by_key(_keyed_orders(s), ONE_ORDER),
         "orders_by_customer": _of_customer,
+        "customer_analytics_dirty": _dirty_mart,
+        "order_violations": _order_violations,
         "customers_violations": lambda s: contracts.entity_violations(s.customers, contracts.ENTITIES["customers"]).select(
             F.col("_id").cast("string").alias("_id"), "violation"
         ),

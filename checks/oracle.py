@@ -227,6 +227,23 @@ def _first_rows(name: str, limit: int) -> str:
 
 
 
+# What each kind of dirt by the key's last digit is read as; a customer without (readable) orders has no sales.
+DIRTY_MART = f"""
+    , mart AS ({CUSTOMER}),
+    read AS (
+      SELECT customer_id, customer_id % 10 AS d, avg_order_value,
+        CASE WHEN d IN (1, 2, 3, 4) THEN 0 ELSE orders END AS n,
+        CASE WHEN d IN (5, 6, 8, 9) THEN 0 ELSE total_spent END AS spent,
+        CASE d WHEN 7 THEN NULL WHEN 8 THEN 25.0 ELSE avg_order_value END AS average,
+        CASE d WHEN 5 THEN first_order::TIMESTAMP - INTERVAL 2 HOUR
+          WHEN 6 THEN first_order::TIMESTAMP + INTERVAL 123456 MICROSECOND
+          WHEN 7 THEN NULL ELSE date_trunc('day', first_order)::TIMESTAMP END AS first_order
+      FROM mart
+    )
+    SELECT CAST(customer_id AS VARCHAR) AS _id, n AS orders, CASE WHEN n = 0 THEN 0.0 ELSE spent END::DOUBLE AS total_spent,
+      CASE WHEN n = 0 THEN NULL ELSE average END::DOUBLE AS avg_order_value, CAST(first_order AS TIMESTAMP) AS first_order
+    FROM read"""
+
 NAMES = {
     "customers": "v_customers",
     "sellers": "v_sellers",
@@ -445,6 +462,16 @@ def oracle_sql(page_size: int, deep_page: int, after: int, one_order: int, one_c
     )
     for name in ("order_by_id", "orders_by_customer", "customer_analytics_top_n"):
         sql[f"{name}_built"] = sql[name]
+    sql["customer_analytics_dirty"] = _with(DIRTY_MART, "v_customers", "v_orders", "order_money")
+    sql["order_violations"] = _with(
+        """
+    SELECT order_id AS _id, 'missing customer' AS violation FROM v_orders WHERE order_id % 7 = 0 OR customer_id IS NULL
+    UNION ALL SELECT order_id, 'unknown status' FROM v_orders WHERE order_id % 11 IN (0, 1) OR order_status IS NULL
+      OR order_status NOT IN ('created', 'approved', 'processing', 'invoiced', 'shipped', 'delivered', 'unavailable', 'canceled')
+    UNION ALL SELECT order_id, 'missing items' FROM v_orders WHERE order_id % 13 = 0
+    UNION ALL SELECT order_id, 'missing reviews' FROM v_orders WHERE order_id % 17 = 0""",
+        "v_orders",
+    )
     sql["customers_contract"] = _with(
         "\nSELECT CAST(customer_id AS VARCHAR) AS _id, CAST(customer_unique_id AS VARCHAR) AS customer_unique_id,"
         " CAST(customer_zip_code_prefix AS INTEGER) AS customer_zip_code_prefix, customer_city, customer_state"

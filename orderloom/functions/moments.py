@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 
 BLANKS = " \t\n\r\x0b\x0c"
 
-# The ISO 8601 texts accepted as a moment.
-ISO_LOCAL = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
-ISO_WITH_OFFSET = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})$"
+# The ISO 8601 texts accepted as a moment. Date and time have an extended form
+# with separators and a basic one without; a week date may lack its day, and stands for Monday.
+ISO_DATE = r"(?:(\d{4})-(\d{2})-(\d{2})|(\d{4})(\d{2})(\d{2})|(\d{4})-W(\d{2})(?:-(\d))?|(\d{4})W(\d{2})(\d)?)"
+ISO_CLOCK = (
+    r"(?:(\d{2}):(\d{2}):(\d{2})[.,](\d+)|(\d{2}):(\d{2}):(\d{2})|(\d{2}):(\d{2})"
+    r"|(\d{2})(\d{2})(\d{2})[.,](\d+)|(\d{2})(\d{2})(\d{2})|(\d{2})(\d{2})|(\d{2}))"
+)
+ISO_OFFSET = r"(?:(Z)|([+-])(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?)"
+ISO_MOMENT = f"^{ISO_DATE}(?:[^0-9]{ISO_CLOCK}{ISO_OFFSET}?)?$"
+# Where the groups of the pattern are.
+YEARS, MONTHS, MONTH_DAYS = (1, 4), (2, 5), (3, 6)
+WEEK_YEARS, WEEKS, WEEK_DAYS = (7, 10), (8, 11), (9, 12)
+HOURS, MINUTES, SECONDS, FRACTIONS = (13, 17, 20, 22, 26, 29, 31), (14, 18, 21, 23, 27, 30), (15, 19, 24, 28), (16, 25)
+ZULU, SIGN, OFFSET_HOURS, OFFSET_MINUTES, OFFSET_SECONDS, OFFSET_FRACTION = range(32, 38)
 
 
 def zoneless(value: str) -> str:
@@ -33,11 +44,34 @@ def days_between(start: str, end: str) -> str:
 def iso_moment(text: Column) -> Column:
     """ISO date or timestamp text as a zone-less timestamp, NULL when it is not one.
 
-    Text with an offset becomes UTC wall time.
+    Read are calendar and week dates, each extended or basic, with a time of hours to
+    fractions of any length (beyond microseconds cut off) behind any one character
+    that is no digit. Text with an offset becomes UTC wall time.
     """
     trimmed = F.btrim(text, F.lit(BLANKS))
-    micros = F.unix_micros(trimmed.try_cast("timestamp"))
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    return F.when(trimmed.rlike(ISO_LOCAL), trimmed.try_cast("timestamp_ntz")).when(
-        trimmed.rlike(ISO_WITH_OFFSET), F.timestamp_add("MICROSECOND", micros, epoch)
-    )
+
+    def part(*groups: int) -> Column:
+        """The group that took part, of those that cannot both; empty when none did."""
+        return F.concat(*[F.regexp_extract(trimmed, ISO_MOMENT, group) for group in groups])
+
+    def number(*groups: int) -> Column:
+        return F.coalesce(part(*groups).try_cast("bigint"), F.lit(0).cast("bigint"))
+
+    def micros(hours: Column, minutes: Column, seconds: Column, fraction: Column) -> Column:
+        return ((hours * 60 + minutes) * 60 + seconds) * 1_000_000 + F.rpad(F.substring(fraction, 1, 6), 6, "0").cast("bigint")
+
+    calendar = F.concat_ws("-", part(*YEARS), part(*MONTHS), part(*MONTH_DAYS)).try_cast("date")
+    week, day = number(*WEEKS), F.when(part(*WEEK_DAYS) == "", F.lit(1).cast("bigint")).otherwise(number(*WEEK_DAYS))
+    # The fourth of January is always in the first week.
+    fourth = F.concat(part(*WEEK_YEARS), F.lit("-01-04")).try_cast("date")
+    counted = F.date_add(fourth, ((week - 1) * 7 + day - 1).cast("int") - F.weekday(fourth))
+    by_week = F.when((F.weekofyear(counted) == week) & day.between(1, 7), counted)
+    date = F.when(part(*YEARS) != "", calendar).otherwise(by_week)
+
+    hours, minutes, seconds = number(*HOURS), number(*MINUTES), number(*SECONDS)
+    off = [number(group) for group in (OFFSET_HOURS, OFFSET_MINUTES, OFFSET_SECONDS)]
+    fits = (hours < 24) & (minutes < 60) & (seconds < 60) & (off[0] < 24) & (off[1] < 60) & (off[2] < 60)
+    sign = F.when(part(SIGN) == "-", -1).otherwise(1)
+    since = micros(hours, minutes, seconds, part(*FRACTIONS)) - sign * micros(*off, part(OFFSET_FRACTION))
+    moment = F.timestamp_add("MICROSECOND", since, date.cast("timestamp_ntz"))
+    return F.when(trimmed.rlike(ISO_MOMENT) & fits, moment)

@@ -126,6 +126,27 @@ def read(spark, reader, value, kind):
 TEXT, DOUBLE, LONG = T.StringType(), T.DoubleType(), T.LongType()
 
 
+ISO_TEXTS = [
+    "2024-02-29", "20240229", "2023-02-29", "20241301", "2024-W01", "2024-W01-1", "2024W011", "2024W53", "2020-W53-7", "2024-W00-1",
+    "2024-W10-8", "2024-W10-0", "2021-W01-1", "2026W537", "2024-01-01T10", "2024-01-01T1011", "2024-01-01T10:11:12.123456789", "20240101T101112,5",
+    "2024-01-01 10:11+02", "2024-01-01T10:11:12+0230", "2024-01-01T10:11:12.5-03:30:15", "2024-01-01T00:00:00+23:59", "2024-01-01x10:11",
+    "2024-01-01T25:00", "2024-01-01T10:60", "2024-01-01T10:11:60", "2024-01-01T", "2024-01-01T10:11Z", "2024-W10-3T08:00Z",
+    "20240101 101112.000001Z", "2024-01", "24-01-01", "2024-1-1", "2024-01-01T1:00", "0001-01-01", "9999-12-31T23:59:59.999999",
+]
+
+
+def test_iso_text_is_read_as_by_python(spark):
+    rows = spark.createDataFrame([(t,) for t in ISO_TEXTS], "t string")
+    for text, found in rows.select("t", iso_moment(F.col("t"))).collect():
+        try:
+            expected = datetime.fromisoformat(text)
+        except ValueError:
+            expected = None
+        if expected is not None and expected.tzinfo:
+            expected = (expected - expected.utcoffset()).replace(tzinfo=None)
+        assert found == expected, text
+
+
 @pytest.mark.parametrize(
     "value, kind, expected",
     [
