@@ -184,6 +184,17 @@ def _dirty_mart(shop: Shop) -> DataFrame:
     return contracts.conform(contracts.normalize(stored, contract), contract).select(*kept)
 
 
+def _landed_drift(shop: Shop) -> DataFrame:
+    """What is found wrong with landed orders and items of which one column was renamed, one retyped, one added."""
+    spark = shop.orders.sparkSession
+    folder = scratch(spark, "landed")
+    orders = reader.typed_like(shop.orders, "orders").withColumnRenamed("order_status", "status")
+    items = reader.typed_like(shop.order_items, "order_items").withColumn("price", F.col("price").cast("string"))
+    orders.write.parquet(f"{folder}/orders")
+    items.write.parquet(f"{folder}/order_items")
+    return reader.landed_drift(spark, folder, ["orders", "order_items"])
+
+
 def _order_violations(shop: Shop) -> DataFrame:
     """Orders whose customer or status was taken away or changed, by the key's last digits."""
     spoiled = _keyed_orders(shop).selectExpr(
@@ -281,6 +292,7 @@ def queries() -> dict[str, Query]:
         "orders_by_customer": _of_customer,
         "customer_analytics_dirty": _dirty_mart,
         "order_violations": _order_violations,
+        "landed_drift": _landed_drift,
         "customers_violations": lambda s: contracts.entity_violations(s.customers, contracts.ENTITIES["customers"]).select(
             F.col("_id").cast("string").alias("_id"), "violation"
         ),

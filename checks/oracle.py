@@ -462,6 +462,12 @@ def oracle_sql(page_size: int, deep_page: int, after: int, one_order: int, one_c
     )
     for name in ("order_by_id", "orders_by_customer", "customer_analytics_top_n"):
         sql[f"{name}_built"] = sql[name]
+    sql["landed_drift"] = """
+    SELECT * FROM (VALUES
+      ('orders', 'order_status', 'missing', TRUE),
+      ('orders', 'status', 'not in the catalog', FALSE),
+      ('order_items', 'price', 'string instead of double', TRUE)
+    ) t("dataset", "column", "problem", "harmful")"""
     sql["customer_analytics_dirty"] = _with(DIRTY_MART, "v_customers", "v_orders", "order_money")
     sql["order_violations"] = _with(
         """

@@ -87,11 +87,37 @@ def land_parquet(shop: Shop, folder: str) -> None:
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+class DriftError(ValueError):
+    """Stored columns are not those of the catalog."""
+
+
 def read_shop_parquet(spark: SparkSession, folder: str) -> Shop:
-    """Role tables written by :func:`land_parquet`."""
+    """Role tables written by :func:`land_parquet`; a column that is missing or of another type is an error.
+
+    Only footers are read for that. Without it a renamed column would arrive as NULLs,
+    as the files are read with the catalog's schema. Further columns are left out.
+    """
+    problems = [f"{r['dataset']}.{r['column']}: {r['problem']}" for r in landed_drift(spark, folder).where("harmful").collect()]
+    if problems:
+        raise DriftError(f"in {folder}: " + "; ".join(problems))
     return Shop(**{name: spark.read.schema(d.schema).parquet(f"{folder}/{name}") for name, d in DATASETS.items()})
 
 
+def landed_drift(spark: SparkSession, folder: str, names: Iterable[str] = tuple(DATASETS)) -> DataFrame:
+    """``(dataset, column, problem, harmful)``: how the landed columns differ from the catalog's, by the files' footers."""
+    rows = []
+    for name in names:
+        found = {f.name: f.dataType for f in spark.read.parquet(f"{folder}/{name}").schema.fields}
+        declared = {f.name: f.dataType for f in _dataset(name).schema.fields}
+        for column, kind in declared.items():
+            if column not in found:
+                rows.append((name, column, "missing", True))
+            elif found[column] != kind:
+                rows.append((name, column, f"{found[column].simpleString()} instead of {kind.simpleString()}", True))
+        rows += [(name, column, "not in the catalog", False) for column in found if column not in declared]
+    return spark.createDataFrame(rows, "dataset string, column string, problem string, harmful boolean")
+
+
 def csv_headers(spark: SparkSession, folder: str) -> DataFrame:
     """``(dataset, n_columns, columns)`` of every CSV present in ``folder``."""
     missing = set(missing_datasets(spark, folder))

@@ -242,3 +242,22 @@ def test_texts_go_through_as_many_files_as_the_table_needs(spark, tmp_path, monk
         result = registered.queries()[name](spark, str(tmp_path))
         assert sorted(tuple(r) for r in result.collect()) == expected
     assert len(result.inputFiles()) >= least
+
+
+def test_landed_columns_that_drifted_are_an_error(spark, tmp_path, small_folder):
+    folder = str(tmp_path / "landed")
+    shop = ol.bind(spark, small_folder)
+    tables = {name: reader.typed_like(table, name) for name, table in shop.tables().items()}
+    ol.land_parquet(ol.Shop(**tables), folder)
+    assert reader.landed_drift(spark, folder).count() == 0
+    ol.read_shop_parquet(spark, folder)
+    ol.land_parquet(ol.Shop(**(tables | {"sellers": tables["sellers"].withColumn("more", F.lit(1))})), folder)
+    assert ol.read_shop_parquet(spark, folder).sellers.columns == tables["sellers"].columns
+    renamed = tables["orders"].withColumnRenamed("customer_id", "client_id")
+    ol.land_parquet(ol.Shop(**(tables | {"orders": renamed})), folder)
+    with pytest.raises(reader.DriftError, match="orders.customer_id: missing"):
+        ol.read_shop_parquet(spark, folder)
+    retyped = tables["order_items"].withColumn("price", F.col("price").cast("string"))
+    ol.land_parquet(ol.Shop(**(tables | {"order_items": retyped})), folder)
+    with pytest.raises(reader.DriftError, match="order_items.price: string instead of double"):
+        ol.read_shop_parquet(spark, folder)
