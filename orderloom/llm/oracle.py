@@ -36,7 +36,8 @@ def shards(n_shards: int) -> str:
       SELECT *, md5('{SEED}|' || coalesce(doc_id::VARCHAR, '-') || '|' || crc || '|' || size) AS digest FROM summed
     ),
     ranked AS (
-      SELECT *, (row_number() OVER (PARTITION BY s ORDER BY digest, doc_id NULLS FIRST, crc, size) - 1 + 0.5::DOUBLE)
+      SELECT *, (row_number() OVER (PARTITION BY s ORDER BY digest, doc_id NULLS FIRST, crc, size) - 1
+          + (('0x' || substr(md5('{SEED}|' || s), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)
         / count(*) OVER (PARTITION BY s) AS fraction
       FROM shuffled
     ),

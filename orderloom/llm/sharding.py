@@ -60,7 +60,7 @@ def shard(
         .withColumn("digest", F.md5(named.cast("binary")))
         .withColumn("bucket", F.substring("digest", 1, BUCKETS_HEX))
     )
-    ranked = settle(_ranked(groups))
+    ranked = settle(_ranked(groups, seed))
     placed = _placed(ranked)
     return (
         placed.withColumn("shard", F.expr(f"position * {n_shards} div n"))
@@ -76,18 +76,24 @@ def shard(
     )
 
 
-def _ranked(groups: DataFrame) -> DataFrame:
-    """A row per document with the fraction of its stratum that comes before it."""
+def _ranked(groups: DataFrame, seed: int) -> DataFrame:
+    """A row per document with the fraction of its stratum that comes before it.
+
+    A stratum's rows lie one step apart from an offset within the first step, drawn
+    from its name: else all strata of one row would meet in the middle of the order.
+    """
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "s").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    offset = (drawn + F.lit(0.5)) / F.lit(4294967296.0)
     by_bucket = groups.groupBy("s", "bucket").agg(F.sum("copies").alias("rows"))
     whole = W.partitionBy("s")
     before = F.sum("rows").over(whole.orderBy("bucket")) - F.col("rows")
-    offsets = by_bucket.select("s", "bucket", before.alias("before"), F.sum("rows").over(whole).alias("of"))
+    offsets = by_bucket.select("s", "bucket", before.alias("before"), F.sum("rows").over(whole).alias("of"), offset.alias("offset"))
     inside = W.partitionBy("s", "bucket").orderBy("digest", "k", "crc", "size").rowsBetween(W.unboundedPreceding, 0)
     return (
         groups.withColumn("inside", F.sum("copies").over(inside) - F.col("copies"))
         .join(offsets, ["s", "bucket"])
         .withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
-        .withColumn("fraction", (F.expr("before + inside + copy") + F.lit(0.5)) / F.col("of"))
+        .withColumn("fraction", (F.expr("before + inside + copy") + F.col("offset")) / F.col("of"))
         .withColumn("cell", F.floor(F.col("fraction") * CELLS))
         .select("k", "s", "size", "crc", "digest", "copy", "fraction", "cell")
     )

@@ -52,3 +52,16 @@ def test_no_python_in_the_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
     with pytest.raises(ValueError):
         sharding.shard(documents, 0)
+
+
+def test_sources_of_one_row_spread(spark):
+    """A tenth of the rows have a source of their own: every shard gets some, as many as chance gives it."""
+    rows = [(i, f"text {i}", f"own{i}" if i % 10 == 0 else f"s{i % 3}", "x", "y") for i in range(4_000)]
+    placed = sharding.shard(spark.createDataFrame(rows, KINDS), 16).collect()
+    check(rows, 16, placed)
+    own = Counter(r["shard"] for r in placed if r["source"].startswith("own"))
+    # 25 on average, with a standard deviation of 4.8.
+    assert len(own) == 16 and all(8 <= n <= 45 for n in own.values())
+    for source in ("s0", "s1", "s2"):
+        counts = [sum(r["shard"] == i and r["source"] == source for r in placed) for i in range(16)]
+        assert max(counts) - min(counts) <= 30
