@@ -195,6 +195,12 @@ def _landed_drift(shop: Shop) -> DataFrame:
     return reader.landed_drift(spark, folder, ["orders", "order_items"])
 
 
+def _sorted_mart(shop: Shop) -> DataFrame:
+    """A mart as it is shown, each row with the place it comes at; its rows are as few as there are states."""
+    shown = registry.run_sorted("geography_analytics", shop).coalesce(1)
+    return shown.withColumn("position", F.monotonically_increasing_id() + 1)
+
+
 def _order_violations(shop: Shop) -> DataFrame:
     """Orders whose customer or status was taken away or changed, by the key's last digits."""
     spoiled = _keyed_orders(shop).selectExpr(
@@ -280,6 +286,8 @@ def queries() -> dict[str, Query]:
         "dq_missing_values": quality.missing_values,
         "dq_duplicate_keys": quality.duplicate_keys,
         "dq_orphans": quality.orphans,
+        "dq_findings": quality.findings,
+        "geography_analytics_sorted": _sorted_mart,
         "dq_date_order": lambda s: quality.date_order(s.orders),
         "orders_page_offset": _page_offset,
         "orders_page_deep": _page_deep,

@@ -418,6 +418,16 @@ def oracle_sql(page_size: int, deep_page: int, after: int, one_order: int, one_c
     sql["dq_duplicate_keys"] = _duplicates()
     sql["dq_orphans"] = _orphans()
     sql["dq_date_order"] = _date_order()
+    sql["dq_findings"] = f"""
+    SELECT 'rows' AS section, dataset, '' AS name, rows AS value FROM ({_row_counts()})
+    UNION ALL SELECT 'missing', dataset, "column", missing FROM ({_missing()})
+    UNION ALL SELECT 'dates', 'orders', rule, violations FROM ({_date_order()})
+    UNION ALL SELECT 'duplicates', dataset, key, duplicates FROM ({_duplicates()})
+    UNION ALL SELECT 'orphans', child, relation, orphans FROM ({_orphans()})"""
+    body, *views = MART_SQL["geography_analytics"]
+    sql["geography_analytics_sorted"] = _with(
+        f"\nSELECT *, row_number() OVER (ORDER BY state NULLS LAST) AS position FROM ({body})", *views
+    )
     sql["orders_page_offset"] = _page("_id", "order_status = 'delivered'", page_size, 2 * page_size)
     sql["orders_page_deep"] = _page("_id", "TRUE", page_size, (deep_page - 1) * page_size)
     sql["orders_page_keyset"] = _page("_id", f"order_id > {after}", page_size)

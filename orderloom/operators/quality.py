@@ -134,3 +134,23 @@ def date_order(orders: DataFrame, rules: Sequence[DateRule] = DATE_RULES) -> Dat
     measured = orders.agg(*[_count_if(breaks_rule(r), r.label) for r in rules])
     rows = ", ".join(f"'{r.label}', '{r.later}', '{r.earlier}', `{r.label}`" for r in rules)
     return measured.selectExpr(f"stack({len(rules)}, {rows}) as (rule, later, earlier, violations)")
+
+
+def findings(shop: Shop) -> DataFrame:
+    """``(section, dataset, name, value)``: all counts of a report, one scan per table for its rows, gaps and dates.
+
+    Sections are ``rows``, ``missing`` (columns that miss something), ``dates`` (rules
+    of orders), ``duplicates`` (keys) and ``orphans`` (relations).
+    """
+
+    def of(name: str, table: DataFrame) -> DataFrame:
+        measured = profile(name, table)
+        values = _stacked(measured, measured.columns, "measure, value").where("value > 0 or measure not like 'missing:%'")
+        section = "case when measure like 'missing:%' then 'missing' when measure like 'date:%' then 'dates' else 'rows' end as section"
+        label = "if(measure = 'rows', '', substring(measure, locate(':', measure) + 1)) as name"
+        return values.selectExpr(section, f"'{name}' as dataset", label, "value")
+
+    scanned = [of(name, table) for name, table in shop.tables().items()]
+    repeats = duplicate_keys(shop).selectExpr("'duplicates' as section", "dataset", "key as name", "duplicates as value")
+    lost = orphans(shop).selectExpr("'orphans' as section", "child as dataset", "relation as name", "orphans as value")
+    return _union([*scanned, repeats, lost])
