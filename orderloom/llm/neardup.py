@@ -230,14 +230,14 @@ def _linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     # In buckets that still hold several classes every text meets the hubs of those of another class and a fitting size.
     open_ = land(_undecided(_placed(crowd.select("bucket", "d", "n"), labels).join(hubs, "d")))
     wanted = _wanted(open_, least)
-    more = wanted.where("d <> h").join(compared.select("d", "h"), ["d", "h"], "left_anti")
-    compared = land(compared.unionByName(_compared(more, bodies)))
-    labels = _components(_links(compared, least))
+    more = land(_compared(wanted.where("d <> h").join(compared.select("d", "h"), ["d", "h"], "left_anti"), bodies))
+    compared = compared.unionByName(more)
+    labels = _joined(labels, _links(more, least))
 
     still = land(_undecided(open_.select("bucket", "d", "n", "h").join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))))
     pairs = land(_possible(still, compared, least))
     last = land(_compared(pairs, bodies))
-    return _components(_links(compared.unionByName(last), least))
+    return _joined(labels, _links(last, least))
 
 
 def _wanted(open_: DataFrame, least: float) -> DataFrame:
@@ -338,6 +338,22 @@ def _compared(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "d binary, h binary, o bigint, nd bigint, nh bigint, out array<bigint>")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links. Only links between different classes are followed, as links of their labels."""
+    of = labels.select(F.col("d").alias("of"), F.col("c").alias("to"))
+
+    def labelled(table: DataFrame, name: str) -> DataFrame:
+        met = table.join(of, F.col(name) == F.col("of"), "left")
+        return met.withColumn(name, F.coalesce("to", name)).drop("of", "to")
+
+    between = land(labelled(labelled(links, "a"), "b").where("a <> b").distinct())
+    roots = land(_components(between))
+    moved = labels.join(roots.select(F.col("d").alias("c"), F.col("c").alias("root")), "c", "left")
+    known = moved.select("d", F.coalesce("root", "c").alias("c"))
+    # Texts that had no link so far stand for themselves among the roots.
+    return land(known.unionByName(roots.join(labels.select("d"), "d", "left_anti")))
+
+
 def _components(links: DataFrame) -> DataFrame:
     """The smallest text ``c`` that links connect each text ``d`` with.
 
