@@ -118,3 +118,37 @@ def test_shingles_count_like_words():
 def test_empty_table(table):
     assert neardup.classes(table.limit(0)).count() == 0
     assert neardup.keep_one(table.limit(0)).count() == 0
+
+
+def test_no_link_is_lost_on_the_documents(spark):
+    """All pairs of different texts that share a run of words, against the classes of the whole table."""
+    folder = "/root/testdata/sf0.01"
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(documents).collect()}
+    texts = {}
+    for row in documents.collect():
+        texts.setdefault(row["text"] or "", []).append(row["doc_id"])
+    assert all(len({found[i] for i in same}) == 1 for same in texts.values())
+    holders, pairs = {}, set()
+    with np.errstate(over="ignore"):
+        for number, text in enumerate(texts):
+            for run in np.unique(neardup.shingles(text)).tolist():
+                holders.setdefault(run, []).append(number)
+        for group in holders.values():
+            pairs |= {(a, b) for i, a in enumerate(group) for b in group[i + 1 :]}
+        bodies = list(texts)
+        near = [(a, b) for a, b in pairs if neardup.similarity(bodies[a], bodies[b]) >= neardup.SIMILARITY]
+    assert near
+    assert all(found[texts[bodies[a]][0]] == found[texts[bodies[b]][0]] for a, b in near)
+    # And classes are no larger than the links make them.
+    parent = list(range(len(bodies)))
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in near:
+        parent[root(a)] = root(b)
+    ids = {i: root(n) for n, body in enumerate(bodies) for i in texts[body]}
+    assert len(set(ids.values())) == len(set(found.values()))
