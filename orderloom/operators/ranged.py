@@ -121,15 +121,24 @@ def _write_blocks(rows: DataFrame, path: str, key: str, group: str | None, block
         known = rows.sparkSession.createDataFrame(offsets, shape)
         same = reduce(lambda a, b: a & b, [F.col(k.name).eqNullSafe(F.col(f"`{k.name} `")) for k in kinds])
         listed = blocks.join(F.broadcast(known), same).withColumn("before", F.col("offset") + F.col("low"))
-        in_order = [*groups, "before"]
-        listed = listed.select(*blocks.columns, "before")
-        listed = listed.coalesce(1) if n_blocks <= LIST_ROWS else listed.repartitionByRange(-(-n_blocks // LIST_ROWS), *in_order)
-        listed.sortWithinPartitions(*in_order).write.mode("overwrite").parquet(f"{path}/blocks")
+        listed = _in_files(listed.select(*blocks.columns, "before"), n_blocks, [*groups, "before"])
+        listed.write.mode("overwrite").parquet(f"{path}/blocks")
     finally:
         blocks.unpersist()
     return repeated
 
 
+def _in_files(listed: DataFrame, n_blocks: int, in_order: list[str]) -> DataFrame:
+    """The list in order, a partition per ``LIST_ROWS`` blocks.
+
+    A single one takes a shuffle too: one task that coalesces all ranges would join
+    each of them, and hold the joined offsets once per range.
+    """
+    n_files = max(1, -(-n_blocks // LIST_ROWS))
+    cut = listed.repartition(1) if n_files == 1 else listed.repartitionByRange(n_files, *in_order)
+    return cut.sortWithinPartitions(*in_order)
+
+
 def _repeated(blocks: DataFrame, nulls: int) -> int:
     """Rows beyond the first of each key; NULL keys form one group.
 

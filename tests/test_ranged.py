@@ -10,7 +10,7 @@ from checks.layout import scanned_rows
 from orderloom.operators import serving
 from orderloom.operators.access import first_of_built_mart
 from orderloom.operators.contracts import MARTS
-from orderloom.operators.ranged import PLACE, RANGE, DuplicateKeyError, RangedTable, write_ranged
+from orderloom.operators.ranged import PLACE, RANGE, DuplicateKeyError, RangedTable, _in_files, write_ranged
 from orderloom.plans import build
 
 KINDS = "_id bigint, status string, n bigint"
@@ -175,3 +175,15 @@ def test_first_rows_of_built_marts_open_one_file(spark, shop, built, name):
     found = first_of_built_mart(table, name, 10)
     assert found.collect() == serving.first_of_mart(ol.run(name, shop), name, 10).collect()
     assert len(table.at_rank(0, 10).inputFiles()) == 1
+
+
+def test_blocks_are_joined_by_range_and_not_all_in_one_task(spark):
+    """A task that coalesced the ranges held the joined offsets once for each of them."""
+    ranges = spark.range(40, numPartitions=8).selectExpr("id % 8 as range_", "40 - id as low")
+    known = spark.range(8).selectExpr("id as range_", "id * 100 as offset")
+    joined = ranges.join(F.broadcast(known), "range_").selectExpr("low", "offset + low as before")
+    listed = _in_files(joined, 40, ["before"])
+    assert "Coalesce" not in listed._jdf.queryExecution().executedPlan().toString()
+    found = [[r["before"] for r in part] for part in listed.rdd.glom().collect()]
+    assert [len(part) for part in found if part] == [40]
+    assert found[0] == sorted(100 * (i % 8) + 40 - i for i in range(40))
