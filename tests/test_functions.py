@@ -147,6 +147,24 @@ def test_iso_text_is_read_as_by_python(spark):
         assert found == expected, text
 
 
+
+def test_a_text_is_matched_once_for_all_its_parts(spark):
+    moment = spark.range(1).select(F.col("id").cast("string").alias("t")).select(iso_moment(F.col("t")).alias("m"))
+    plan = moment._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("rlike(") + plan.count("regexp_extract(") + plan.count("regexp_replace(") == 2
+
+
+@pytest.mark.parametrize("text", ["2024,05,06,,,,1,2,3,,,,,,,", "2024-05-06,", ",,,,,,a,b,c", "2024-05-06T01:02:03.5,", "$1$2"])
+def test_text_with_commas_is_no_moment(spark, text):
+    assert one(spark, iso_moment(F.lit(text))) is None
+
+
+def test_a_line_end_of_unicode_is_passed_over(spark):
+    expected = datetime(2024, 5, 6, 1, 2, 3, 250_000)
+    assert one(spark, iso_moment(F.lit("2024-05-06T03:02:03.25+02:00:00.0\u2028"))) == expected
+    assert one(spark, iso_moment(F.lit("2024-05-06\u2028"))) == datetime(2024, 5, 6)
+
+
 @pytest.mark.parametrize(
     "value, kind, expected",
     [
