@@ -9,9 +9,9 @@ multisets. Bands of registers give candidates, whose overlap is then counted
 exactly.
 
 Equal texts are one from the start. In a bucket of texts that share a band each
-text meets hubs, not all others. Of the pairs left in different classes, those
-that their overlaps with a hub cannot rule out are compared too, so that every
-two texts that share a band are accounted for.
+text meets hubs, not all others, and then a text of the largest class. Of the pairs
+left in different classes, those that may share enough of their rarest shingles are
+compared too, so that every two texts that share a band are accounted for.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 # A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^6)^26 = 0.9996, one of 0.85 with 1 - 5e-6.
 BANDS, BAND_SIZE = 26, 6
 REGISTERS = BANDS * BAND_SIZE
+# Times that the texts of a bucket meet one of its largest class, after their hubs.
+ROUNDS = 2
 # A register stays empty until the first horizon with probability e^-6.
 SAFETY = 6.0
 
@@ -132,20 +134,16 @@ def bands(text: str | None) -> tuple[np.ndarray, int]:
     return keys.view(np.int64), len(runs)
 
 
-def overlap(left: str, right: str) -> tuple[int, int, int, np.ndarray]:
-    """Shared shingles of two texts, the number of each text's, and the left ones that the right has not (as often)."""
+def overlap(left: str, right: str) -> tuple[int, int, int]:
+    """Shared shingles of two texts, and the number of each text's."""
     (a, m), (b, n) = (np.unique(shingles(t), return_counts=True) for t in (left, right))
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    both = np.minimum(m[i], n[j])
-    rest = m.copy()
-    rest[i] -= both
-    which = np.arange(rest.sum()) - np.repeat(np.cumsum(rest) - rest, rest)  # numbers repeated ones, so that all differ
-    return int(both.sum()), int(m.sum()), int(n.sum()), _mixed(np.repeat(a, rest) + which.astype(np.uint64) * np.uint64(ODD))
+    return int(np.minimum(m[i], n[j]).sum()), int(m.sum()), int(n.sum())
 
 
 def similarity(left: str, right: str) -> float:
     """Weighted Jaccard similarity of the shingles of two texts."""
-    shared, m, n, _ = overlap(left, right)
+    shared, m, n = overlap(left, right)
     return shared / max(1, m + n - shared)
 
 
@@ -210,9 +208,7 @@ def _linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Class ``c`` of each text ``d`` that has a link; members are rows (bucket, d, n).
 
     Every two texts of a bucket end in one class, or are compared, or are ruled out
-    by a bound. The bound uses hubs, the texts in the most and largest buckets: what
-    u and l share is at most what the lesser of them shares with a hub, and what
-    they share outside of it.
+    by a bound: the shingles that both can still share from their first one in common.
     """
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowd = land(members.join(sizes, "bucket"))  # only buckets of several texts
@@ -227,31 +223,26 @@ def _linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     compared = land(_compared(hubs.where("d <> h"), bodies))
     labels = _components(_links(compared, least))
 
-    # In buckets that still hold several classes every text meets the hubs of those of another class and a fitting size.
-    open_ = land(_undecided(_placed(crowd.select("bucket", "d", "n"), labels).join(hubs, "d")))
-    wanted = _wanted(open_, least)
-    more = land(_compared(wanted.where("d <> h").join(compared.select("d", "h"), ["d", "h"], "left_anti"), bodies))
-    compared = compared.unionByName(more)
-    labels = _joined(labels, _links(more, least))
-
-    still = land(_undecided(open_.select("bucket", "d", "n", "h").join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))))
-    pairs = land(_possible(still, compared, least))
-    last = land(_compared(pairs, bodies))
+    # Few classes are left once each text has met one of its bucket's largest class.
+    for _ in range(ROUNDS):
+        mixed = land(_undecided(_placed(crowd.select("bucket", "d", "n"), labels)))
+        first = land(_compared(_largest(mixed, least).join(compared.select("d", "h"), ["d", "h"], "left_anti"), bodies))
+        labels = _joined(labels, _links(first, least))
+    undecided = _undecided(_placed(crowd.select("bucket", "d", "n"), labels))
+    still = land(undecided.groupBy("d", "c").agg(F.collect_set("bucket").alias("buckets")))
+    last = land(_compared(_possible(still, bodies, compared, least), bodies))
     return _joined(labels, _links(last, least))
 
 
-def _wanted(open_: DataFrame, least: float) -> DataFrame:
-    """Pairs (d, h): h is the hub of a text of d's bucket that is in another class and not too long or short for d.
+def _largest(mixed: DataFrame, least: float) -> DataFrame:
+    """Pairs (d, h): h is a text of the class that most texts of d's bucket are in, of a size that fits; d is in another.
 
-    Like texts have sizes within a factor of ``least``, so their logarithms to that
-    base fall into the same whole number or neighbouring ones.
+    Such a pair shares a bucket, so comparing it decides earlier, and not otherwise.
     """
-    sized = open_.withColumn("size", F.floor(F.ln(F.col("n").cast("double")) / F.lit(float(-np.log(least)))).cast("int"))
-    # A hub with its texts' classes in a bucket and size: one class, or several, one of which is another than d's.
-    of_size = sized.groupBy("bucket", "size", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    near = sized.select("bucket", "d", "c", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")).distinct()
-    met = near.join(of_size, ["bucket", "size"]).where((F.col("low") != F.col("c")) | (F.col("high") != F.col("c")))
-    return met.select("d", "h").distinct()
+    of_class = mixed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("n", "d")).alias("head"))
+    top = of_class.groupBy("bucket").agg(F.max(F.struct("size", "c", "head")).alias("top"))
+    met = mixed.join(top, "bucket").where(F.col("c") != F.col("top.c")).select("d", "n", F.col("top.head.d").alias("h"), F.col("top.head.n").alias("m"))
+    return met.where(F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9).select("d", "h").distinct()
 
 
 def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -270,59 +261,50 @@ def _links(compared: DataFrame, least: float) -> DataFrame:
     )
 
 
-def _possible(still: DataFrame, compared: DataFrame, least: float) -> DataFrame:
-    """Pairs (d, h) of texts of one bucket and different classes that no bound rules out."""
-    hubs = still.select(F.col("h").alias("d")).distinct()
-    itself = still.select("d", "n").join(hubs, "d", "left_semi").distinct()
-    known = compared.select("d", "h", "o", "nd", "out").unionByName(
-        itself.select(
-            "d", F.col("d").alias("h"), F.col("n").alias("o"), F.col("n").alias("nd"), F.expr("cast(array() as array<bigint>)").alias("out")
-        )
-    )
-    facts = land(known.join(still.select("d", "c").distinct(), "d"))
-    own = still.select("d", "h").distinct()
-
-    def side(table: DataFrame, name: str) -> DataFrame:
-        return table.select(*[F.col(c).alias(c if c in ("h", "x", "bucket") else name + c) for c in table.columns])
-
-    def enough(overlap):
-        return overlap >= least * (F.col("und") + F.col("lnd") - overlap) - 1e-9
-
-    apart = (F.col("ud") != F.col("ld")) & (F.col("uc") != F.col("lc"))
-    # Nothing in common outside the hub: the bound alone, among the texts of a bucket.
-    narrow = facts.drop("out")
-    places = still.select("bucket", "d")
-    by_bucket = side(narrow.join(places, "d"), "u").join(side(narrow.join(own, ["d", "h"]).join(places, "d"), "l"), ["bucket", "h"])
-    close = by_bucket.where(apart & enough(F.least("uo", "lo"))).select("ud", "ld")
-    # Something in common outside the hub: texts that meet in one of their rarest such shingles.
-    rarest = land(_rarest(facts, least))
-    met = side(rarest, "u").join(side(rarest.join(own, ["d", "h"]), "l"), ["h", "x"])
-    sizes_fit = F.least("und", "lnd") >= F.greatest("und", "lnd") * least
-    pairs = close.union(met.where(apart & sizes_fit).select("ud", "ld")).select(
-        F.greatest("ud", "ld").alias("d"), F.least("ud", "ld").alias("h")
-    )
+def _possible(still: DataFrame, bodies: DataFrame, compared: DataFrame, least: float) -> DataFrame:
+    """Pairs (d, h) of texts of one bucket and different classes that may be alike, by their rarest shingles.
+
+    Each text is taken apart once. Its shingles are put in an order common to all:
+    first those that only one class has, then by the number of texts. Behind the
+    first shingle that two texts share lie all others that they do, so as many as
+    like texts share must be left in both from there; it is among the first ones.
+    """
+    runs = still.join(bodies, "d").select("d", "c", "t").mapInArrow(_taken_apart, "d binary, c binary, n bigint, xs array<bigint>")
+    each = land(runs).select("d", "c", "n", F.explode("xs").alias("x"))
+    of_several = each.groupBy("x").agg(F.count(F.lit(1)).alias("f"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    shared = each.join(of_several.select("x", "f"), "x")
+    of_text = W.partitionBy("d")
+    place = F.col("n") - F.count(F.lit(1)).over(of_text) + F.row_number().over(of_text.orderBy("f", "x"))
+    left = shared.withColumn("left", F.col("n") - place + 1).where(F.col("left") >= F.ceil(F.col("n") * least - 1e-9))
+    rarest = land(left.select("d", "c", "n", "x", "left").join(still.select("d", "buckets"), "d"))
+    one, other = (rarest.select(*[F.col(c).alias(c if c == "x" else name + c) for c in rarest.columns]) for name in "ul")
+    # Texts of n and m shingles are alike if they share least / (1 + least) of n + m.
+    enough = F.least("uleft", "lleft") * (1 + least) >= least * (F.col("un") + F.col("ln")) - 1e-9
+    apart = (F.col("ud") > F.col("ld")) & (F.col("uc") != F.col("lc"))
+    met = one.join(other, (one["x"] == other["x"]) & apart & enough & F.arrays_overlap("ubuckets", "lbuckets"))
     done = compared.select(F.greatest("d", "h").alias("d"), F.least("d", "h").alias("h"))
-    return pairs.distinct().join(done.distinct(), ["d", "h"], "left_anti")
+    return land(met.select(F.col("ud").alias("d"), F.col("ld").alias("h")).distinct().join(done.distinct(), ["d", "h"], "left_anti"))
 
 
-def _rarest(facts: DataFrame, least: float) -> DataFrame:
-    """Shingles ``x`` of d outside of h of which a text that is alike must share one.
+def _taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's shingles, repeated ones told apart by a number."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            found = [_told_apart(*np.unique(shingles(text), return_counts=True)) for text in batch.column(2).to_pylist()]
+            sizes = pa.array([len(xs) for xs in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), sizes, pa.array([xs.view(np.int64) for xs in found], pa.list_(pa.int64()))],
+                ["d", "c", "n", "xs"],
+            )
 
-    A like text shares at least ``least`` of d's shingles. Those that h has too are
-    ``o`` at most, so so many of the others must be shared that, in any order common
-    to all, one of the first ones is. The order is by how many texts have them.
-    """
-    each = facts.select("d", "h", "nd", "c", F.size("out").alias("n"), F.greatest(F.lit(1), F.ceil(F.col("nd") * least - 1e-9) - F.col("o")).alias("need"), F.explode("out").alias("x"))
-    common = each.groupBy("h", "x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    shared = each.join(common, ["h", "x"])
-    of_text = W.partitionBy("d", "h")
-    alone = F.col("n") - F.count(F.lit(1)).over(of_text)  # the rarest: no other text has them
-    place = alone + F.row_number().over(of_text.orderBy("f", "x"))
-    return shared.withColumn("place", place).where("place <= n - need + 1").select("d", "h", "nd", "c", "x")
+
+def _told_apart(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    which = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return _mixed(np.repeat(elements, counts) + which.astype(np.uint64) * np.uint64(ODD))
 
 
 def _compared(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Pairs (d, h) with their overlap ``o``, sizes ``nd`` and ``nh``, and the shingles of d that h has not (``out``)."""
+    """Pairs (d, h) with their overlap ``o`` and sizes ``nd`` and ``nh``."""
     left = bodies.select("d", F.col("t").alias("left"))
     right = bodies.select(F.col("d").alias("h"), F.col("t").alias("right"))
 
@@ -331,11 +313,10 @@ def _compared(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
             for batch in batches:
                 found = [overlap(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
                 numbers = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
-                out = pa.array([f[3].view(np.int64) for f in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, out], ["d", "h", "o", "nd", "nh", "out"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers], ["d", "h", "o", "nd", "nh"])
 
     both = pairs.join(left, "d").join(right, "h").select("d", "h", "left", "right")
-    return both.mapInArrow(run, "d binary, h binary, o bigint, nd bigint, nh bigint, out array<bigint>")
+    return both.mapInArrow(run, "d binary, h binary, o bigint, nd bigint, nh bigint")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:

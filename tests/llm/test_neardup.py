@@ -115,6 +115,30 @@ def test_shingles_count_like_words():
         assert sorted(np.unique(neardup.shingles(text), return_counts=True)[1]) == sorted(multiset(text).values())
 
 
+def test_possible_pairs_are_those_alike_and_few_others(spark):
+    """Near copies of one text, each a class, in one bucket: hubs could rule out few of their pairs."""
+    chance = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+
+    def changed(n):
+        return " ".join(f"x{chance.random()}" if i in places else w for places in [set(chance.sample(range(120), n))] for i, w in enumerate(base))
+
+    texts = [changed(chance.choice([0, 1, 2, 8, 10, 12])) for _ in range(60)] + [" ".join(base[:90] + base[:90])] * 1
+    names = [bytes([i]) for i in range(len(texts))]
+    classes = [names[0] if i < 4 else names[i] for i in range(len(texts))]
+    buckets = [[7] if i == 10 else [5, i + 100] if i % 2 else [5] for i in range(len(texts))]
+    still = spark.createDataFrame(list(zip(names, classes, buckets)), "d binary, c binary, buckets array<bigint>")
+    bodies = spark.createDataFrame(list(zip(names, texts)), "d binary, t string")
+    compared = spark.createDataFrame([(names[20], names[21])], "d binary, h binary")
+    found = {(bytes(d)[0], bytes(h)[0]) for d, h in neardup._possible(still, bodies, compared, 0.8).collect()}
+    inside = {
+        (i, j) for i in range(len(texts)) for j in range(i) if classes[i] != classes[j] and 10 not in (i, j) and (i, j) != (21, 20)
+    }
+    wanted = {(i, j) for i, j in inside if alike(texts[i], texts[j])}
+    assert wanted <= found <= inside and wanted
+    assert len(found) < (len(inside) + len(wanted)) / 2
+
+
 def test_empty_table(table):
     assert neardup.classes(table.limit(0)).count() == 0
     assert neardup.keep_one(table.limit(0)).count() == 0
